@@ -18,7 +18,9 @@ holds the rests of its groups.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,9 @@ from .common import id_type, picked, prepare
 WINDOW, END_ID = 2048, 1
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this family.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Pre-tokens kept a worker, and the longest that is kept.
+#: Where a single space has other characters than white space on both sides; the space goes with what follows.
+INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: Pre-tokens and chunks kept a worker, and the longest that is kept.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
 
 
@@ -43,37 +47,60 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Little-endian 32-bit ids of a text."""
+    """Little-endian 32-bit ids of a text.
+
+    A space between two other characters always starts a pre-token, so a text is first cut there (chunks); the ids of
+    chunks and of pre-tokens are kept. A chunk that touches other white space isn't kept: texts that hold one are cut by
+    a pattern that leaves such places whole."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_str(definition), {}
+        self.tokenizer = Tokenizer.from_str(definition)
         self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokens: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes | None] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if any(a in t for a in self.added) else PRE_TOKEN.findall(t) for t in texts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        memo = self.memo
-        new = list(set().union(*(w for w in split if w)).difference(memo))
-        long = {}
+    def _split(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by their pre-tokens."""
+        words = [PRE_TOKEN.findall(t) for t in texts]
+        tokens = self.tokens
+        new = list(set().union(*words).difference(tokens))
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
-            for w, ids in zip(part, self.direct(part), strict=True):
-                (memo if len(w) <= MEMO_CHARS else long)[w] = ids
-        get = memo if not long else {**long}
-        for t, words in zip(texts, split, strict=True):
+            tokens.update(zip(part, self.direct(part), strict=True))
+        out = [b"".join(map(tokens.__getitem__, w)) for w in words]
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del tokens[w]
+        return out
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        for kept in (self.tokens, self.chunks):
+            if len(kept) > MEMO_ENTRIES:
+                kept.clear()
+        chunks = self.chunks
+        split = [None if any(a in t for a in self.added) else t.split(" ") for t in texts]
+        heads = self._split([w[0] if w else "" for w in split])
+        new = list(set().union(*(w[1:] for w in split if w)).difference(chunks))
+        whole = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
+        chunks.update(dict.fromkeys(new))
+        for lo in range(0, len(whole), 4096):
+            part = whole[lo : lo + 4096]
+            chunks.update(zip(part, self._split([" " + c for c in part]), strict=True))
+        for t, head, words in zip(texts, heads, split, strict=True):
             if words is None:
                 yield self.direct([t])[0]
-            elif long:
-                yield b"".join([memo[w] if w in memo else get[w] for w in words])
-            else:
-                yield b"".join(map(memo.__getitem__, words))
+                continue
+            ids = [head, *map(chunks.__getitem__, words[1:])]
+            yield b"".join(self._split(INNER_SPACE.split(t)) if None in ids or words[0][-1:].isspace() else ids)
+        for c in new:
+            if len(c) > MEMO_CHARS:
+                del chunks[c]
 
 
 _ENCODERS: dict[int, Encoder] = {}
