@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .line_crf import line_quality, train
 from .packing import pack
 from .quality_rules import STOP_WORDS, quality_rules
 from .secrets import scan_secrets
@@ -53,6 +54,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -81,6 +87,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_simhash": op4_simhash,
+    "op6_line_crf": op6_line_crf,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
