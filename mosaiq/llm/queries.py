@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_crf, toxicity
 from .common import table
-from .line_crf import line_quality, train
+from .decontaminate import contamination
+from .licenses import COPYRIGHT_LINE, LOWER, NOTICE_HINT, SPELLINGS, UPPER, known_licenses, license_scan
 from .packing import pack
 from .quality_rules import STOP_WORDS, quality_rules
 from .secrets import scan_secrets
 from .simhash import simhash_components
+from .token_counts import token_counts
 from .warc import warc_round_trip
 
 
@@ -50,13 +53,50 @@ FROM c
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def _canonical_sql(text: str) -> str:
+    t = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{COPYRIGHT_LINE}', '\\1', 'g')"
+    t = f"' ' || trim(regexp_replace({t}, '[^a-z0-9]+', ' ', 'g')) || ' '"
+    for a, b in SPELLINGS:
+        t = f"replace({t}, ' {a}', ' {b}')"
+    return f"trim({t})"
+
+
+_KNOWN_SQL = ", ".join(f"('{d}', '{k}')" for d, k in known_licenses().items())
+OP3_SQL = f"""
+WITH known(digest, license) AS (VALUES {_KNOWN_SQL}),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{NOTICE_HINT}'))) AS line FROM d),
+n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM l JOIN known ON sha256({_canonical_sql("line")}) = digest GROUP BY doc_id),
+h AS (SELECT doc_id, sha256({_canonical_sql("t")}) AS text_digest FROM d)
+SELECT h.doc_id, text_digest, license, coalesce(notices, '') AS notices
+FROM h LEFT JOIN known ON text_digest = digest LEFT JOIN n ON h.doc_id = n.doc_id
+"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return line_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+    return line_crf.line_quality(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +126,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_counts": op2_token_counts,
+    "op3_licenses": op3_licenses,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
     "op6_line_crf": op6_line_crf,
+    "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op3_licenses": OP3_SQL, "op9_warc": OP9_SQL}
