@@ -25,6 +25,7 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,16 @@ from .common import id_type, picked, prepare
 SHARE, MIN_WORDS, MAX_RUN = 0.2, 5, 4
 REPEATS, PLACES = 60, 3
 BLOCK_CHARS = 8_000_000
-WORD = re.compile(r"[^\W_]+")
+_APART = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
+_OTHER = re.compile(r"[^\w\x00-\x7f]+")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of letters and digits, in lower case, as UTF-8."""
+    t = (text or "").lower()
+    if not t.isascii():
+        t = _OTHER.sub(" ", t)
+    return t.encode("utf-8", "surrogatepass").translate(_APART).split()
 
 
 def allowed(n: int, share: float = SHARE) -> int:
@@ -69,10 +79,10 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], share: float = SHARE, repeats: int = REPEATS, places: int = PLACES, seed: int = 17):
         self.share, self.repeats = share, repeats
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, list[int]]] = []
         for key, text in items:
-            words = WORD.findall((text or "").lower())
+            words = words_of(text)
             if len(words) >= MIN_WORDS:
                 self.items.append((key, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]))
         self.longest = max((len(w) for _, w in self.items), default=0)
@@ -124,9 +134,10 @@ class Index:
             out = out * np.uint64(0x9E3779B97F4A7C15) + got[:, p].astype(np.uint64) + np.uint64(1)
         return out
 
-    def windows(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """Start and size of the windows that hold a run of an item at its place."""
-        out: set[tuple[int, int]] = set()
+    def windows(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+        """Text, start and size of the windows that hold a run of an item at its place. ids: of all texts, 0 for words of
+        no item and between texts; starts: of each text."""
+        out: set[tuple[int, int, int]] = set()
         known = ids > 0
         for run, found in self.runs.items():
             if len(ids) < run:
@@ -139,9 +150,10 @@ class Index:
             key = np.zeros(len(spots), np.uint64)
             for k in range(run):
                 key = key * np.uint64(1_000_003) + ids[spots + k].astype(np.uint64)
-            for p in spots[np.isin(key, self.firsts[run])].tolist():
+            spots = spots[np.isin(key, self.firsts[run])]
+            for p, t in zip(spots.tolist(), (np.searchsorted(starts, spots, "right") - 1).tolist(), strict=True):
                 for o, size in found.get(tuple(ids[p : p + run].tolist()), ()):
-                    out.add((p - o, size))
+                    out.add((t, p - o - int(starts[t]), size))
         return sorted(out)
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int, int]]]:
@@ -149,12 +161,11 @@ class Index:
         out: list[list] = [[] for _ in texts]
         if not self.items:
             return out
-        get, jobs = self.vocabulary.get, []
-        sequences = []
-        for k, t in enumerate(texts):
-            ids = np.array([get(w, 0) for w in WORD.findall((t or "").lower())], np.int64)
-            sequences.append(ids)
-            jobs += [(k, s, n) for s, n in self.windows(ids)]
+        get, zero = self.vocabulary.get, repeat(0)
+        sequences = [np.fromiter(map(get, w, zero), np.int64, len(w)) for w in map(words_of, texts)]
+        gap = np.zeros(1, np.int64)
+        ids = np.concatenate([gap, *(x for seq in sequences for x in (seq, gap))])
+        jobs = self.windows(ids, 1 + np.r_[0, np.cumsum([len(seq) + 1 for seq in sequences])[:-1]].astype(np.int64))
         pairs: set[tuple[int, int, int]] = set()
         for lo in range(0, len(jobs), 512):
             part = jobs[lo : lo + 512]

@@ -3,7 +3,7 @@
 An Aho-Corasick automaton names every piece that ends at each character; dynamic programming carries, for each position,
 the best score and the number of pieces on the way there. Ties go as in the tokenizer: of candidates for one position
 the one that starts earliest (the longest piece) stays, and an unknown character counts only where no piece of one
-character fits. Spaces become the word mark, and no piece crosses one, so counts of words are kept and reused.
+character fits; unknown characters in a row are one token. Spaces become the word mark, and no piece crosses one, so counts of words are kept and reused.
 
 Defined cases: null and empty texts have no tokens; null ids are carried; repeated rows give repeated results; an empty
 table gives an empty result; other columns are ignored. Words of any length take time in proportion to their length.
@@ -53,24 +53,33 @@ class Counter:
         self.memo: dict[str, int] = {}
 
     def word(self, text: str) -> int:
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        if len(self.pieces):
-            for last, found in self.pieces.iter(text):
-                ends[last + 1].append(found)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            top, which, single = None, 0, False
-            for size, score in sorted(ends[end], reverse=True):
-                got = best[end - size] + score
-                single |= size == 1
-                if top is None or got > top:
-                    top, which = got, count[end - size] + 1
-            if not single:
-                got = best[end - 1] + self.unknown
-                if top is None or got > top:
-                    top, which = got, count[end - 1] + 1
-            best[end], count[end] = top, which
+        best, count, loose, n = [0.0], [0], [False], len(text)
+        top, which, single = None, 0, False
+
+        def settle(end: int) -> None:
+            """Closes the positions before end; those without a piece of one character take an unknown one, which is
+            one token with an unknown one before it."""
+            nonlocal top, which, single
+            while len(best) < end:
+                unknown = False
+                if not single:
+                    got = best[-1] + self.unknown
+                    if top is None or got > top:
+                        top, which, unknown = got, count[-1] + (not loose[-1]), True
+                best.append(top)
+                count.append(which)
+                loose.append(unknown)
+                top, which, single = None, 0, False
+
+        for last, (size, score) in self.pieces.iter(text) if len(self.pieces) else ():  # by end, longest first
+            if len(best) <= last:
+                settle(last + 1)
+            got = best[last + 1 - size] + score
+            if size == 1:
+                single = True
+            if top is None or got > top:
+                top, which = got, count[last + 1 - size] + 1
+        settle(n + 1)
         return count[n]
 
     def __call__(self, texts: list[str | None]) -> list[int]:

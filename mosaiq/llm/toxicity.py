@@ -30,6 +30,8 @@ MAX_DOCS, FEATURES, GRADES, MIN_SUPPORT = 4000, 300, 3, 5
 #: A word is marked if it is this many times more frequent among toxic texts.
 MARKED_RATIO = 20.0
 WORD = re.compile(r"[^\W\d_]+")
+#: Lengths of the word beginnings that are features beside the words.
+PREFIXES = (5, 6, 7)
 
 
 @dataclass(frozen=True)
@@ -39,19 +41,43 @@ class Model:
     thresholds: np.ndarray
 
 
-def features(text: str | None, words: dict[str, int]) -> tuple[list[int], list[float], int]:
-    """Places and values of the known words, and the number of all words."""
-    all_words = WORD.findall((text or "").lower())
-    n = len(all_words)
-    seen = Counter(filter(words.__contains__, all_words))
-    return [words[w] for w in seen], [float(np.log1p(c) + np.log1p(100 * c / n)) for c in seen.values()], n
+def parts(word: str) -> list[str]:
+    """The word and its beginnings, which are marked."""
+    return [word, *(f"{word[:k]}^" for k in PREFIXES if len(word) >= k)]
+
+
+class Features:
+    """Places and values of a text's known features, and its number of words."""
+
+    def __init__(self, words: dict[str, int]):
+        self.words = words
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def _known(self, word: str) -> tuple[int, ...]:
+        return tuple(self.words[p] for p in parts(word) if p in self.words)
+
+    def __call__(self, text: str | None) -> tuple[list[int], list[float], int]:
+        all_words, memo = WORD.findall((text or "").lower()), self.memo
+        if len(memo) > 300_000:
+            memo.clear()
+        seen: Counter = Counter()
+        for w in all_words:
+            got = memo.get(w)
+            if got is None:
+                got = self._known(w)
+                if len(w) <= 48:
+                    memo[w] = got
+            if got:
+                seen.update(got)
+        n = len(all_words)
+        return list(seen), [float(np.log1p(c) + np.log1p(100 * c / n)) for c in seen.values()], n
 
 
 def at_least(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds[None, :], -40, 40)))
 
 
-def fit(x: np.ndarray, grade: np.ndarray, rounds: int = 300, ridge: float = 2e-3, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: np.ndarray, grade: np.ndarray, rounds: int = 400, ridge: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by maximum likelihood with a ridge; thresholds are the first and positive steps."""
     n, d = x.shape
     w, first, steps = np.zeros(d), 1.0, np.zeros(GRADES - 1)
@@ -83,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = Counter((y, w) for y, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in {None, *WORD.findall((t or "").lower())})
+            found = Counter((y, w) for y, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in {None, *(p for x in set(WORD.findall((t or "").lower())) for p in parts(x))})
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["y", "w", "n"])
 
     by = rows.mapInArrow(distinct, "y int, w string, n long").groupBy("w").agg(*(F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
@@ -96,8 +122,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = [k for k, r in enumerate(best) if r["r"] > np.log(MARKED_RATIO)]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Features(words)
         for b in batches:
-            got = [features(t, words) for t in b.column(1).to_pylist()]
+            got = [read(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array([g[2] for g in got], pa.int64())], names=["y", "at", "x", "n"])
 
     sample = rows.mapInArrow(vectors, "y int, at array<int>, x array<double>, n long").orderBy("y", "n", "at", "x").limit(2 * max_docs).toPandas()
@@ -117,9 +144,10 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     src = picked(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Features(model.words)
         for b in batches:
             if b.num_rows:
-                got = [features(t, model.words) for t in b.column(1).to_pylist()]
+                got = [read(t) for t in b.column(1).to_pylist()]
                 p = at_least(np.array([float(np.dot(model.weights[at], v)) if at else 0.0 for at, v, _ in got]), model.thresholds)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0] >= 0.5)], names=["_id", "severity", "p_toxic", "grade", "toxic"])
 
