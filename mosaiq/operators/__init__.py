@@ -1 +1 @@
-"""Part of mosaiq."""
+"""Pieces of the compiler: predicates, relations, order, aggregates, projections."""

@@ -1 +1 @@
-"""Part of mosaiq."""
+"""Compiled operations."""
