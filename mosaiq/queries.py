@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .operators.predicates import ANY_NULL, DB_NULL, JSON_NULL, FieldRef
 from .plans import sets
 from .plans.read import Reader
-from .schema import Model, Registry, big_int, date_time, decimal, floating, integer, json, many_to_many, string, to_many, to_one, vector
+from .schema import Model, Registry, Relation, big_int, date_time, decimal, floating, integer, json, many_to_many, string, to_many, to_one, vector
 from .sources import FrameSource, LayeredSource, ParquetSource, query
+from .sources.store import SnapshotStore
+from .streaming import find_stream, group_stream
 
 REGISTRY = Registry(
     Model("region", {"r_regionkey": integer(id=True), "r_name": string(), "nations": to_many("nation")}),
@@ -379,3 +384,99 @@ def _(r: Reader) -> DataFrame:
 def _(r: Reader) -> DataFrame:
     r.source.load("orders").createOrReplaceTempView("mosaiq_raw_orders")
     return query(r.source.spark, "SELECT o_orderstatus, count(*) AS n FROM mosaiq_raw_orders WHERE o_totalprice > :least GROUP BY o_orderstatus", least=100000.0)
+
+# writes: the table's state afterwards
+
+
+def _writes(spark: SparkSession, sf_dir: str, *tables: str) -> Engine:
+    """An engine over a store that starts with these tables of the source."""
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    store = SnapshotStore(spark, f"{place.rstrip('/')}/mosaiq-store-{uuid.uuid4().hex}")
+    tx = store.begin()
+    for t in tables:
+        tx.create_table(t, ParquetSource(spark, sf_dir).load(t))
+    tx.commit()
+    return Engine(REGISTRY, store)
+
+
+def _write(name: str, sql: str, *tables: str):
+    def keep(f: Callable[[Engine], DataFrame]) -> None:
+        QUERIES[name] = lambda spark, sf_dir: f(_writes(spark, sf_dir, *tables))
+        ORACLES[name] = sql
+
+    return keep
+
+
+@_write("write_update_many", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer", "customer", "nation", "orders", "events")
+def _(e: Engine) -> DataFrame:
+    e.customer.update_many(where={"c_mktsegment": "BUILDING", "c_acctbal": {"lt": 0.0}}, data={"c_acctbal": 0.0})
+    return e.customer.find_many(select={"c_custkey": True, "c_acctbal": True})
+
+
+@_write("write_increment_limit", "SELECT p_partkey, CASE WHEN rn <= 25 THEN p_size * 2 ELSE p_size END AS p_size FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN p_size > 20 THEN 0 ELSE 1 END, p_partkey) + CASE WHEN p_size > 20 THEN 0 ELSE 1000000 END AS rn FROM part)", "part", "lineitem")
+def _(e: Engine) -> DataFrame:
+    e.part.update_many(where={"p_size": {"gt": 20}}, data={"p_size": {"multiply": 2}}, limit=25)
+    return e.part.find_many(select={"p_partkey": True, "p_size": True})
+
+
+@_write("write_delete_many", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 5000))", "orders", "customer", "nation", "events")
+def _(e: Engine) -> DataFrame:
+    free = Engine(Registry(*_no_lines()), e.source)
+    free.orders.delete_many(where={"o_orderstatus": "F", "customer": {"is": {"c_acctbal": {"gt": 5000.0}}}})
+    return free.orders.find_many(select={"o_orderkey": True})
+
+
+def _no_lines() -> list[Model]:
+    """The models without lineitem's relations, so that orders can go without their lines."""
+    return [Model(m.name, {k: v for k, v in m.shape.items() if not (isinstance(v, Relation) and "lineitem" in (v.target, m.name))}, m.table, m.id, m.uniques) for m in REGISTRY.models.values()]
+
+
+@_write("write_create_many_skip", "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 900, 'NEW', 1", "nation", "region", "customer", "supplier")
+def _(e: Engine) -> DataFrame:
+    e.nation.create_many(data=[{"n_nationkey": 1, "n_name": "X", "n_regionkey": 0}, {"n_nationkey": 900, "n_name": "NEW", "n_regionkey": 1}, {"n_nationkey": 900, "n_name": "AGAIN", "n_regionkey": 1}], skip_duplicates=True)
+    return e.nation.find_many()
+
+
+@_write("write_upsert_nested", "SELECT r_regionkey, n_nationkey, CASE WHEN n_nationkey = 2 THEN 'RENAMED' ELSE n_name END AS n_name FROM region LEFT JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 77, 901, 'BORN'", "nation", "region", "customer", "supplier")
+def _(e: Engine) -> DataFrame:
+    owner = e.nation.find_unique(where={"n_nationkey": 2}).first()["n_regionkey"]
+    e.region.upsert(where={"r_regionkey": 77}, create={"r_regionkey": 77, "r_name": "NOWHERE", "nations": {"create": {"n_nationkey": 901, "n_name": "BORN"}}}, update={})
+    e.region.upsert(where={"r_regionkey": owner}, create={"r_regionkey": owner, "r_name": "?"}, update={"nations": {"update": [{"where": {"n_nationkey": 2}, "data": {"n_name": "RENAMED"}}]}})
+    return e.region.find_many(include={"nations": True}).select("r_regionkey", F.explode_outer("nations").alias("n")).select("r_regionkey", "n.n_nationkey", "n.n_name")
+
+
+# streams
+
+
+def _streamed(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
+    """What an available-now run of the stream has put out."""
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    name = f"mosaiq_stream_{uuid.uuid4().hex}"
+    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{place.rstrip('/')}/{name}").start().awaitTermination()
+    return spark.table(name)
+
+
+def _stream_reader(spark: SparkSession, sf_dir: str) -> Reader:
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    events = FrameSource(spark, {"events": lambda: spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")})  # a pattern, as the source may be one file
+    return Reader(REGISTRY, LayeredSource(events, ParquetSource(spark, sf_dir)))
+
+
+def _stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _stream_reader(spark, sf_dir)
+    return _streamed(spark, find_stream(r, "events", where={"value": {"gt": 50.0}, "customer": {"is": {"c_acctbal": {"gt": 0.0}}}}, select={"event_id": True, "event_type": True}), "append")
+
+
+def _stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _stream_reader(spark, sf_dir)
+    df = _streamed(spark, group_stream(r, "events", time="ts", window="1 day", watermark="400 days", by="event_type", _count=True, _max={"value": True}), "complete")
+    return df.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", F.col("_count").alias("n"), F.col("_max.value").alias("top"))
+
+
+QUERIES |= {"stream_filter": _stream_filter, "stream_window_group": _stream_window}
+ORACLES |= {
+    "stream_filter": "SELECT event_id, event_type FROM events JOIN customer ON user_id = c_custkey WHERE value > 50 AND c_acctbal > 0",
+    "stream_window_group": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY ALL",
+}
