@@ -34,6 +34,16 @@ def join(a: DataFrame, b: DataFrame, on: list[tuple[str, str]], how: str = "inne
     return a.join(b, cond, how)
 
 
+def cross(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every pair of rows; for sides of a few rows."""
+    return a.crossJoin(b.select(*(F.col(f"`{c}`").alias(f"right_{c}" if c in a.columns else c) for c in b.columns)))
+
+
+def lateral(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """b may use columns of a as F.col(...).outer(); how is inner, left or cross."""
+    return a.lateralJoin(b, how=how)
+
+
 def descend(edges: DataFrame, roots: DataFrame, parent: str, child: str, max_depth: int = 100) -> DataFrame:
     """Everything below the roots (a column named as child) in a tree or graph of parent-child rows: child and depth, the
     least at which it is reached. Runs as one recursive query; rows already found aren't a cycle's end, so max_depth is."""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .functions import vocabulary as fn
 from .operators.predicates import ANY_NULL, DB_NULL, JSON_NULL, FieldRef
 from .plans import sets
 from .plans.read import Reader
@@ -373,6 +374,41 @@ for _how in ("inner", "left", "right", "full"):
     )
 
 
+@_add("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN (SELECT n_name FROM nation WHERE n_regionkey = 0)")
+def _(r: Reader) -> DataFrame:
+    return sets.cross(r.find_many("region", select={"r_name": True}), r.find_many("nation", where={"n_regionkey": 0}, select={"n_name": True}))
+
+
+@_add("join_lateral", "SELECT r_regionkey, n_name FROM region LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS rn FROM nation) ON n_regionkey = r_regionkey AND rn <= 2")
+def _(r: Reader) -> DataFrame:
+    inner = r.scan(REGISTRY["nation"]).where(F.col("n_regionkey") == F.col("r_regionkey").outer()).orderBy("n_name").limit(2).select("n_name")
+    return sets.lateral(r.find_many("region", select={"r_regionkey": True}), inner, "left")
+
+
+@_add("functions_text", "SELECT p_partkey, concat(p_brand, '/', upper(p_type)) AS label, lower(p_name) AS low, p_type LIKE '%BRASS' AS brass, NOT (lower(p_name) LIKE 'a%') AS not_a, p_size BETWEEN 5 AND 10 AS mid, NOT (p_size BETWEEN 5 AND 10) AS not_mid, translate(p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%tin%' AS tin FROM part")
+def _(r: Reader) -> DataFrame:
+    c = F.col
+    return r.scan(REGISTRY["part"]).select("p_partkey", fn.concat(c("p_brand"), F.lit("/"), fn.upper("p_type")).alias("label"), fn.lower("p_name").alias("low"), fn.like(c("p_type"), "%BRASS").alias("brass"), fn.not_ilike(c("p_name"), "A%").alias("not_a"), fn.between(c("p_size"), 5, 10).alias("mid"), fn.not_between(c("p_size"), 5, 10).alias("not_mid"), fn.ilike(c("p_type"), "%TIN%").alias("tin"))
+
+
+@_add("functions_numbers", "SELECT p_partkey, CAST(-p_size // 4 AS BIGINT) AS quarter, greatest(p_size, 20) AS high, least(p_size, 20) AS low, coalesce(nullif(p_size, 1), -1) AS filled, CAST(p_size AS VARCHAR) AS text, CAST(CAST(p_size AS VARCHAR) AS BIGINT) AS number, lower(hex(encode(p_brand))) AS hexed FROM part")
+def _(r: Reader) -> DataFrame:
+    size = F.col("p_size")
+    return r.scan(REGISTRY["part"]).select("p_partkey", fn.integer_divide(-size, F.lit(4)).alias("quarter"), fn.greatest(size, F.lit(20)).alias("high"), fn.least(size, F.lit(20)).alias("low"), fn.coalesce(F.nullif(size, F.lit(1)), F.lit(-1)).alias("filled"), fn.cast(size, "text").alias("text"), fn.cast(fn.cast(size, "text"), "integer").alias("number"), fn.blob_to_hex(F.encode("p_brand", "UTF-8")).alias("hexed"))
+
+
+@_add("functions_arrays", "SELECT p_partkey, len(w) AS n, w[2] AS second, array_to_string(list_append(w, 'end'), '-') AS pushed, array_to_string(list_prepend('start', w), '-') AS front, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 1 THEN 'X' ELSE x END), '-') AS changed FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part)")
+def _(r: Reader) -> DataFrame:
+    w = F.col("w")
+    df = r.scan(REGISTRY["part"]).select("p_partkey", F.split("p_type", " ").alias("w"))
+    return df.select("p_partkey", fn.array_length(w).cast("bigint").alias("n"), fn.array_get(w, 1).alias("second"), F.array_join(fn.array_push(w, "end"), "-").alias("pushed"), F.array_join(fn.array_unshift(w, "start"), "-").alias("front"), F.array_join(fn.array_set(w, 0, "X"), "-").alias("changed"))
+
+
+@_add("count_distinct", "SELECT count(DISTINCT o_custkey) AS customers, min(o_orderdate) AS first FROM orders")
+def _(r: Reader) -> DataFrame:
+    return r.scan(REGISTRY["orders"]).agg(fn.count_distinct("o_custkey").alias("customers"), fn.smallest("o_orderdate").alias("first"))
+
+
 @_add("recursive_tree", "WITH RECURSIVE w(node, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT o_orderkey, depth + 1 FROM w JOIN orders ON (o_orderkey // 2) = node AND o_orderkey > 1 WHERE depth < 6) SELECT node AS child, min(depth) AS depth FROM w GROUP BY node")
 def _(r: Reader) -> DataFrame:
     edges = r.scan(REGISTRY["orders"]).where("o_orderkey > 1").select(F.floor(F.col("o_orderkey") / 2).alias("parent"), F.col("o_orderkey").alias("child"))
