@@ -102,7 +102,7 @@ class Projection:
         cdf, _, _ = self.windowed(cdf, child, keys, args, parents=names)
         cdf, out = self.shaped(cdf, child, args)
         value = self.fresh("r")
-        rows = F.array_sort(F.collect_list(F.struct(F.col("__rn").alias("rn"), F.struct(*out).alias("v"))), lambda a, b: a["rn"].cast("int") - b["rn"].cast("int"))
+        rows = F.array_sort(F.collect_list(F.struct(F.col("__rn").alias("rn"), F.struct(*out).alias("v"))))  # by rn, which is unique
         cdf = cdf.groupBy(*names).agg(F.transform(rows, lambda x: x["v"]).alias(value))
         kind = cdf.schema[value].dataType
         match = all_of([F.col(f"`{a}`") == F.col(n) for a, n in zip(on, names, strict=True)])
