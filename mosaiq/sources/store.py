@@ -97,6 +97,41 @@ class SnapshotStore:
         path = self._path(f"{self.root}/{folder}")
         return [f"{folder}/{s.getPath().getName()}" for s in self._fs(path).listStatus(path) if s.getPath().getName().startswith("part-")]
 
+    # upkeep
+
+    def history(self) -> list[dict]:
+        """Version and changed tables of every manifest that is kept, oldest first."""
+        path = self._path(f"{self.root}/_manifest")
+        names = sorted(s.getPath().getName() for s in self._fs(path).listStatus(path))
+        return [{"version": int(n[:-5]), "touched": self.manifest(int(n[:-5]))["touched"]} for n in names if n.endswith(".json")]
+
+    def compact(self, table: str, files: int) -> int:
+        """The same rows in so many files; a commit like any other."""
+        tx = self.begin()
+        tx.rewrite(table, tx.load(table).repartition(files))
+        return tx.commit()
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes manifests but the last `keep`, and all files that none of those names; returns the number of files.
+        No writer or reader of an older version may be at work."""
+        versions = [h["version"] for h in self.history()]
+        kept = versions[-keep:]
+        named = {f for v in kept for t in self.manifest(v)["tables"].values() for f in t["files"]}
+        root, gone = self._path(self.root), 0
+        fs = self._fs(root)
+        for table in fs.listStatus(root):
+            if table.getPath().getName() == "_manifest":
+                continue
+            for folder in fs.listStatus(table.getPath()):
+                name = f"{table.getPath().getName()}/{folder.getPath().getName()}"
+                files = [f"{name}/{x.getPath().getName()}" for x in fs.listStatus(folder.getPath())]
+                if not named.intersection(files):
+                    gone += len(files)
+                    fs.delete(folder.getPath(), True)
+        for v in versions[:-keep]:
+            fs.delete(self._path(self._manifest(v)), False)
+        return gone
+
     def begin(self) -> Transaction:
         return Transaction(self)
 

@@ -169,3 +169,14 @@ def test_evolution(e):
 def test_reads_only_elsewhere(spark, data):
     with pytest.raises(UnsupportedError):
         Engine(REG, ParquetSource(spark, data)).user.create(data={"name": "x"})
+
+
+def test_upkeep(e):
+    e.post.update_many(data={"title": "t"})
+    before = titles(e)
+    e.source.compact("post", 1)
+    assert titles(e) == before and len([f for f in e.source.tables["post"]["files"]]) == 1
+    assert e.source.history()[-1]["touched"] == ["post"] and len(e.source.history()) > 2
+    assert e.source.vacuum() > 0 and titles(e) == before and len(e.source.history()) == 1
+    e.post.create(data={"title": "after"})
+    assert len(titles(e)) == len(before) + 1
