@@ -36,8 +36,10 @@ WINDOW, END_ID = 2048, 1
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Where a single space has other characters than white space on both sides; the space goes with what follows.
 INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
-#: Pre-tokens and chunks kept a worker, and the longest that is kept.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
+#: Chunks kept a worker, and the longest that is kept.
+MEMO_ENTRIES, MEMO_CHARS = 900_000, 48
+#: Marks that are a pre-token by themselves after a word of letters.
+MARKS = ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -49,9 +51,10 @@ def default_tokenizer() -> str:
 class Encoder:
     """Little-endian 32-bit ids of a text.
 
-    A space between two other characters always starts a pre-token, so a text is first cut there (chunks); the ids of
-    chunks and of pre-tokens are kept. A chunk that touches other white space isn't kept: texts that hold one are cut by
-    a pattern that leaves such places whole."""
+    A space between two other characters always starts a pre-token, so a text is first cut there (chunks), and the ids of
+    chunks are kept. A word of letters with its space is one pre-token, as is a mark after it; other chunks are split by
+    the pattern. A chunk that touches other white space isn't kept: texts that hold one are cut by a pattern that leaves
+    such places whole."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -59,45 +62,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.tokens: dict[str, bytes] = {}
         self.chunks: dict[str, bytes | None] = {}
+        self.line, *marks = self.direct(["\n", *MARKS])
+        self.marks = dict(zip(MARKS, marks, strict=True))
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters with a space before them, many to a call: a line end between them is one token."""
+        ids = np.frombuffer(self.direct(["\n".join([" " + w for w in words])])[0], "<u4")
+        if len(self.line) == 4:
+            ends = np.flatnonzero(ids == int.from_bytes(self.line, "little"))
+            if len(ends) == len(words) - 1:
+                data, cut = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
+                return [data[s + 4 : e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        return self.direct([" " + w for w in words])
+
     def _split(self, texts: list[str]) -> list[bytes]:
         """Ids of texts by their pre-tokens."""
         words = [PRE_TOKEN.findall(t) for t in texts]
-        tokens = self.tokens
-        new = list(set().union(*words).difference(tokens))
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            tokens.update(zip(part, self.direct(part), strict=True))
-        out = [b"".join(map(tokens.__getitem__, w)) for w in words]
-        for w in new:
-            if len(w) > MEMO_CHARS:
-                del tokens[w]
-        return out
+        new = list(set().union(*words))
+        ids = dict(zip(new, self.direct(new), strict=True))
+        return [b"".join(map(ids.__getitem__, w)) for w in words]
+
+    def _learn(self, new: list[str]) -> None:
+        chunks, whole, marked, other = self.chunks, [], [], []
+        for c in new:
+            if c.isalpha():
+                whole.append(c)
+            elif not c or len(c.strip()) != len(c):
+                chunks[c] = None
+            elif c[-1] in self.marks and c[:-1].isalpha():
+                marked.append(c)
+            else:
+                other.append(c)
+        whole = list(set(whole).union(c[:-1] for c in marked).difference(chunks))
+        for lo in range(0, len(whole), 1024):
+            part = whole[lo : lo + 1024]
+            chunks.update(zip(part, self._words(part), strict=True))
+        for c in marked:
+            chunks[c] = chunks[c[:-1]] + self.marks[c[-1]]
+        for lo in range(0, len(other), 4096):
+            part = other[lo : lo + 4096]
+            chunks.update(zip(part, self._split([" " + c for c in part]), strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for kept in (self.tokens, self.chunks):
-            if len(kept) > MEMO_ENTRIES:
-                kept.clear()
         chunks = self.chunks
+        if len(chunks) > MEMO_ENTRIES:
+            chunks.clear()
         split = [None if any(a in t for a in self.added) else t.split(" ") for t in texts]
         heads = self._split([w[0] if w else "" for w in split])
         new = list(set().union(*(w[1:] for w in split if w)).difference(chunks))
-        whole = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        chunks.update(dict.fromkeys(new))
-        for lo in range(0, len(whole), 4096):
-            part = whole[lo : lo + 4096]
-            chunks.update(zip(part, self._split([" " + c for c in part]), strict=True))
+        self._learn(new)
         for t, head, words in zip(texts, heads, split, strict=True):
             if words is None:
                 yield self.direct([t])[0]
                 continue
-            ids = [head, *map(chunks.__getitem__, words[1:])]
-            yield b"".join(self._split(INNER_SPACE.split(t)) if None in ids or words[0][-1:].isspace() else ids)
+            try:
+                if words[0][-1:].isspace():
+                    raise TypeError
+                yield head + b"".join(map(chunks.__getitem__, words[1:]))
+            except TypeError:  # a chunk that isn't kept
+                yield b"".join(self._split(INNER_SPACE.split(t)))
         for c in new:
             if len(c) > MEMO_CHARS:
                 del chunks[c]
