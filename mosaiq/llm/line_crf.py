@@ -110,29 +110,30 @@ def _padded(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def forward_backward(gain: np.ndarray, counts: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of chains with the gains (chain, position): the probability of good at each position, and the expected number of
     each pair of neighbouring labels over all chains."""
+    order = np.argsort(-counts, kind="stable")
+    gain, counts = gain[order], counts[order]
     n, length = gain.shape
+    on = [int(k) for k in np.searchsorted(-counts, -np.arange(length), "left")]  # chains longer than t, which come first
     e, s = np.stack([np.zeros_like(gain), gain], 2), np.exp(step - step.max())
     e = np.exp(e - e.max(axis=2, keepdims=True))
-    live = np.arange(length) < counts[:, None]
-    ahead, back = np.empty((length, n, 2)), np.ones((length, n, 2))
-    f = e[:, 0] / e[:, 0].sum(1, keepdims=True)
-    ahead[0] = f
+    ahead, back = np.ones((length, n, 2)), np.ones((length, n, 2))
+    ahead[0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
     for t in range(1, length):
-        g = (f @ s) * e[:, t]
-        f = np.where(live[:, t, None], g / g.sum(1, keepdims=True), f)
-        ahead[t] = f
-    b, pairs = np.ones((n, 2)), np.zeros((2, 2))
+        k = on[t]
+        f = (ahead[t - 1, :k] @ s) * e[:k, t]
+        ahead[t, :k] = f / f.sum(1, keepdims=True)
+    pairs = np.zeros((2, 2))
     for t in range(length - 1, 0, -1):
-        m = e[:, t] * b
-        on = live[:, t]
-        p = ahead[t - 1][:, :, None] * s[None] * m[:, None, :]
-        p /= p.sum((1, 2), keepdims=True)
-        pairs += p[on].sum(0)
+        k = on[t]
+        m = e[:k, t] * back[t, :k]
+        p = ahead[t - 1, :k, :, None] * s[None] * m[:, None, :]
+        pairs += (p / p.sum((1, 2), keepdims=True)).sum(0)
         c = m @ s.T
-        b = np.where(on[:, None], c / c.sum(1, keepdims=True), b)
-        back[t - 1] = b
+        back[t - 1, :k] = c / c.sum(1, keepdims=True)
     both = ahead * back
-    return (both[:, :, 1] / both.sum(2)).T, pairs
+    out = np.empty_like(gain)
+    out[order] = (both[:, :, 1] / both.sum(2)).T
+    return out, pairs
 
 
 def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 120, ridge: float = 1e-3, rate: float = 0.08) -> Model:
