@@ -3,12 +3,14 @@
 Texts are sequences of words (lower case, letters and digits). An item of n words leaks into a document if some stretch
 of it is within edit distance floor(0.2 n), in words. The CGK walk copies a sequence symbol by symbol and, by a random
 bit for each step and symbol, moves on or stays, so that edit distance becomes Hamming distance; repetition r keeps a few
-random places of walk r as a hash. Windows as long as an item share a hash with it with a probability that falls with
-their distance, and REPEATS repetitions bring the recall of pairs at the largest distance allowed over 0.9 (measured in
-the tests). Every candidate pair is then checked by exact edit distance.
-
-Windows are formed only where they can match: if n words differ by at most d edits, then one of d + 1 equal pieces of the
-item occurs unchanged, so each true window holds, at its place, a run of n // (d + 1) words of the item (at most
+random places of walk r as a hash. Windows as long as a piece of an item share a hash with it with a probability that
+falls with their number of edits, so items are cut into equal pieces of at most PIECE words: of the pieces of an item
+within its distance, one at least is within its own (the edits of all sum up to no more), so an item of any length is
+found as surely as a piece. REPEATS repetitions bring the recall at the largest distance allowed over 0.9 (measured in
+the tests for up to 1,000 words). At every hit the whole item is then checked by exact edit distance.
+
+Windows are formed only where they can match: if n words differ by at most d edits, then one of d + 1 equal parts of
+them occurs unchanged, so each true window holds, at its place, a run of n // (d + 1) words of the piece (at most
 MAX_RUN). Scanning for such runs is exact, loses nothing, and leaves few windows to embed.
 
 The benchmark is handled in blocks of at most BLOCK_CHARS characters, each broadcast within that bound, one scan of the
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import id_type, picked, prepare
 
 SHARE, MIN_WORDS, MAX_RUN = 0.2, 5, 4
-REPEATS, PLACES = 60, 3
+REPEATS, PLACES, PIECE = 60, 3, 40
 BLOCK_CHARS = 8_000_000
 _APART = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 _OTHER = re.compile(r"[^\w\x00-\x7f]+")
@@ -74,6 +76,30 @@ def best_stretch(item: list[int], text: list[int], most: int) -> tuple[int, int,
     return (prev[end], born[end], end) if prev[end] <= most else None
 
 
+def least_end(item: list[int], text: list[int]) -> tuple[int, int]:
+    """Least edit distance of the item to a stretch of text, and where the first such stretch ends (Myers' bit vectors)."""
+    at: dict[int, int] = {}
+    for i, w in enumerate(item):
+        at[w] = at.get(w, 0) | 1 << i
+    full, top = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    up, down, score = full, 0, len(item)
+    best, end = score, 0
+    for j, x in enumerate(text, 1):
+        eq = at.get(x, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(h | up)), up & h
+        if more & top:
+            score += 1
+        elif less & top:
+            score -= 1
+            if score < best:
+                best, end = score, j
+        more, less = more << 1, less << 1
+        up, down = (less | ~(v | more)) & full, more & v & full
+    return best, end
+
+
 class Index:
     """A block of items, for a task."""
 
@@ -85,26 +111,32 @@ class Index:
             words = words_of(text)
             if len(words) >= MIN_WORDS:
                 self.items.append((key, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]))
-        self.longest = max((len(w) for _, w in self.items), default=0)
+        #: Item, first word in it, words.
+        self.pieces: list[tuple[int, int, list[int]]] = []
+        for k, (_, words) in enumerate(self.items):
+            parts = -(-len(words) // PIECE)
+            cuts = [len(words) * j // parts for j in range(parts + 1)]
+            self.pieces += [(k, a, words[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.longest = max((len(w) for _, _, w in self.pieces), default=0)
         draw = random.Random(seed)
         rng = np.random.default_rng(seed)
         #: A random bit for each repetition, step and symbol: bit `step % 32` of a word for each repetition and symbol, and for each block of steps.
         self.bits = rng.integers(0, 2**32, (max(1, -(-2 * self.longest // 32)), repeats, len(self.vocabulary) + 1), dtype=np.uint32)
         self.places = np.array([[draw.random() for _ in range(places)] for _ in range(repeats)])
         self.runs: dict[int, dict[tuple[int, ...], set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
-        for _, words in self.items:
+        for _, _, words in self.pieces:
             n = len(words)
             run = min(MAX_RUN, n // (allowed(n, share) + 1))
             for o in range(n - run + 1):
                 self.runs[run][tuple(words[o : o + run])].add((o, n))
         self.firsts = {run: np.unique(np.array([self._key(g) for g in found], np.uint64)) for run, found in self.runs.items()}
         self.buckets: dict[tuple[int, int], list[int]] = defaultdict(list)
-        if self.items:
-            sizes = np.array([len(w) for _, w in self.items])
-            hashes = self.hashes([w for _, w in self.items], sizes)
-            for k in range(len(self.items)):
+        for lo in range(0, len(self.pieces), 512):
+            part = [w for _, _, w in self.pieces[lo : lo + 512]]
+            hashes = self.hashes(part, np.array([len(w) for w in part]))
+            for k in range(len(part)):
                 for r in range(repeats):
-                    self.buckets[r, int(hashes[r, k])].append(k)
+                    self.buckets[r, int(hashes[r, k])].append(lo + k)
 
     @staticmethod
     def _key(gram) -> int:
@@ -135,7 +167,7 @@ class Index:
         return out
 
     def windows(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-        """Text, start and size of the windows that hold a run of an item at its place. ids: of all texts, 0 for words of
+        """Text, start and size of the windows that hold a run of a piece at its place. ids: of all texts, 0 for words of
         no item and between texts; starts: of each text."""
         out: set[tuple[int, int, int]] = set()
         known = ids > 0
@@ -166,25 +198,36 @@ class Index:
         gap = np.zeros(1, np.int64)
         ids = np.concatenate([gap, *(x for seq in sequences for x in (seq, gap))])
         jobs = self.windows(ids, 1 + np.r_[0, np.cumsum([len(seq) + 1 for seq in sequences])[:-1]].astype(np.int64))
-        pairs: set[tuple[int, int, int]] = set()
+        starts: dict[tuple[int, int], set[int]] = defaultdict(set)  # of the whole item, for each text and item
         for lo in range(0, len(jobs), 512):
             part = jobs[lo : lo + 512]
             cut = [sequences[k][max(0, s) : s + n].tolist() for k, s, n in part]
             hashes = self.hashes(cut, np.array([n for _, _, n in part]))
             for r in range(self.repeats):
                 for (k, s, n), h in zip(part, hashes[r].tolist(), strict=True):
-                    for item in self.buckets.get((r, h), ()):
-                        if len(self.items[item][1]) == n:
-                            pairs.add((k, item, s))
+                    for piece in self.buckets.get((r, h), ()):
+                        item, first, words = self.pieces[piece]
+                        if len(words) == n:
+                            starts[k, item].add(s - first)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k, item, s in sorted(pairs):
-            key, words = self.items[item]
+        for (k, item), at in starts.items():
+            words = self.items[item][1]
             most = allowed(len(words), self.share)
-            lo = max(0, s - most)
-            got = best_stretch(words, sequences[k][lo : s + len(words) + most].tolist(), most)
-            if got:
-                now = (got[0], lo + got[1], lo + got[2])
-                best[k, item] = min(now, best.get((k, item), now))
+            near: list[list[int]] = []  # stretches of the text, apart, that hold every match
+            for s in sorted(at):
+                lo, hi = max(0, s - most), min(len(sequences[k]), s + len(words) + most)
+                if near and lo <= near[-1][1]:
+                    near[-1][1] = max(hi, near[-1][1])
+                else:
+                    near.append([lo, hi])
+            for lo, hi in near:
+                text = sequences[k][lo:hi].tolist()
+                d, end = least_end(words, text)
+                if d <= most:
+                    before = max(0, end - len(words) - d)
+                    _, a, b = best_stretch(words, text[before:end], d)
+                    now = (d, lo + before + a, lo + before + b)
+                    best[k, item] = min(now, best.get((k, item), now))
         for (k, item), (d, a, b) in sorted(best.items()):
             key, words = self.items[item]
             out[k].append((key, len(words), d, a, b))

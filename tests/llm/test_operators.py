@@ -323,6 +323,34 @@ def test_edit_search_recall_and_distance(spark, data):
     assert found >= 0.95 * 300
 
 
+@pytest.mark.parametrize("kind", ["substitute", "insert", "delete"])
+@pytest.mark.parametrize("n", [41, 100, 400, 1000])
+def test_recall_does_not_fall_with_length(n, kind):
+    rng, cases = random.Random(n), 20
+    items = [(k, " ".join(f"w{rng.randrange(100_000)}" for _ in range(n))) for k in range(cases)]
+    index, most, found = dc.Index(items), dc.allowed(n), 0
+    for key, item in items:
+        x = item.split()
+        for at in sorted(rng.sample(range(n), most), reverse=True):
+            x[at : at + (kind != "insert")] = [] if kind == "delete" else [f"zz{rng.randrange(9999)}"]
+        pad = [f"p{rng.randrange(9999)}" for _ in range(30)]
+        hits = [h for h in index.search([" ".join(pad + x + pad)])[0] if h[0] == key]
+        found += bool(hits)
+        assert all(h[1] == n and h[2] <= most for h in hits)
+    assert found >= 0.9 * cases
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=70), st.lists(st.integers(1, 4), max_size=150))
+def test_least_end_is_exact(item, text):
+    d, end = dc.least_end(item, text)
+    got = dc.best_stretch(item, text, len(item))
+    assert (d, end) == (got[0], got[2])
+    before = max(0, end - len(item) - d)
+    s = dc.best_stretch(item, text[before:end], d)
+    assert (s[0], before + s[1], before + s[2]) == got
+
+
 def test_decontamination_rows(spark, data, odd, empty):
     benchmark = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog again today"), (2, "too short"), (3, None), (1, "The quick brown fox jumps over the lazy dog again today")], "item_id long, text string")
     texts = [(1, "so THE quick, brown fox\njumps over the lazy dog again today ok"), (2, "the quick brown cat jumps over the lazy dog again now and"), (3, "the quick brown thing"), (4, None), (5, "too short")]
