@@ -1,6 +1,6 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Texts are sequences of words (lower case, letters and digits). An item of n words leaks into a document if some stretch
+Texts are sequences of words (lower case, letters and digits; in scripts without spaces each character is a word). An item of n words leaks into a document if some stretch
 of it is within edit distance floor(0.2 n), in words. The CGK walk copies a sequence symbol by symbol and, by a random
 bit for each step and symbol, moves on or stays, so that edit distance becomes Hamming distance; repetition r keeps a few
 random places of walk r as a hash. Windows as long as a piece of an item share a hash with it with a probability that
@@ -40,14 +40,16 @@ SHARE, MIN_WORDS, MAX_RUN = 0.2, 5, 4
 REPEATS, PLACES, PIECE = 60, 3, 40
 BLOCK_CHARS = 8_000_000
 _APART = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
-_OTHER = re.compile(r"[^\w\x00-\x7f]+")
+#: Letters and marks of scripts that put no spaces between words: Thai, Lao, Burmese, Khmer, Chinese and Japanese.
+_UNSPACED = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ebd\u0ec0-\u0ece\u0edc-\u0edf\u1000-\u103f\u1050-\u109d\u1780-\u17d3\u17d7\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_OTHER, _ALONE = re.compile(rf"[^\w\x00-\x7f{_UNSPACED}]+"), re.compile(f"([{_UNSPACED}])")
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Runs of letters and digits, in lower case, as UTF-8."""
+    """Runs of letters and digits, in lower case, as UTF-8; characters of scripts without spaces stand alone."""
     t = (text or "").lower()
     if not t.isascii():
-        t = _OTHER.sub(" ", t)
+        t = _ALONE.sub(r" \1 ", _OTHER.sub(" ", t))
     return t.encode("utf-8", "surrogatepass").translate(_APART).split()
 
 

@@ -351,6 +351,13 @@ def test_least_end_is_exact(item, text):
     assert (s[0], before + s[1], before + s[2]) == got
 
 
+def test_scripts_without_spaces_are_searched_by_character():
+    zh, th, ja = "水在标准大气压下的沸点是一百摄氏度", "น้ำเดือดที่อุณหภูมิหนึ่งร้อยองศา", "日本の首都はどこですか"
+    assert dc.words_of("Ab水在12 né") == ["ab".encode(), "水".encode(), "在".encode(), b"12", "né".encode()]
+    found = dc.Index([(1, zh), (2, th), (3, ja)]).search([f"问题：{zh}。答案", f"ถาม {th} ตอบ", f"質問「{ja}」", zh.replace("标准", "正常"), "水的颜色"])
+    assert [[(h[0], h[2]) for h in x] for x in found] == [[(1, 0)], [(2, 0)], [(3, 0)], [(1, 2)], []]
+
+
 def test_decontamination_rows(spark, data, odd, empty):
     benchmark = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog again today"), (2, "too short"), (3, None), (1, "The quick brown fox jumps over the lazy dog again today")], "item_id long, text string")
     texts = [(1, "so THE quick, brown fox\njumps over the lazy dog again today ok"), (2, "the quick brown cat jumps over the lazy dog again now and"), (3, "the quick brown thing"), (4, None), (5, "too short")]
