@@ -8,6 +8,7 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,37 @@ def test_licenses(spark, odd, empty):
     assert all(re.search(licenses.NOTICE_HINT, t) for ts in licenses.NOTICES.values() for t in ts)
 
 
+def look_up(text):
+    return licenses.known_licenses().get(hashlib.sha256(licenses.canonical_text(text).encode()).hexdigest())
+
+
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not COMMON.is_dir(), reason="no licence texts on this machine")
+@pytest.mark.parametrize("name, license", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_long_licences_are_known(name, license):
+    text = (COMMON / name).read_text()
+    assert look_up(text) == license and look_up(f"{text.replace(' ', '  ').upper()}\n\n") == license
+    assert look_up(text + " more") is None
+
+
+def test_headers_and_spdx_ids_are_known():
+    bsd = licenses.TEXTS["BSD-3-Clause"]
+    assert look_up(bsd) == look_up("BSD 3-Clause License\n\nCopyright (c) 2020, A. Person\nAll rights reserved.\n\n" + bsd) == "BSD-3-Clause"
+    assert look_up("The MIT License (MIT)\n\nCopyright (c) 2020 A. Person\n\n" + licenses.TEXTS["MIT"]) == "MIT"
+    assert look_up('# Licensed under the Apache License, Version 2.0 (the "License");') == "Apache-2.0"
+    grant = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert look_up(grant) == "GPL-3.0-or-later" and look_up(grant.replace("General", "Lesser General").replace("program", "library")) == "LGPL-3.0-or-later"
+    ids = {"MPL-2.0": "MPL-2.0", "GPL-2.0-only": "GPL-2.0-only", "GPL-2.0-or-later": "GPL-2.0-or-later", "GPL-2.0": "GPL-2.0", "GPL-2.0+": "GPL-2.0", "LGPL-2.1-or-later": "LGPL-2.1-or-later", "AGPL-3.0-only": "AGPL-3.0-only", "BSD-2-Clause": "BSD-2-Clause"}
+    assert {k: look_up(f"/* SPDX-License-Identifier: {k} */") for k in ids} == ids
+    known: dict[str, set[str]] = {}
+    for k, ts in [*licenses.HEADERS.items(), *licenses.NOTICES.items()]:
+        for t in ts:
+            known.setdefault(licenses.canonical_text(t), set()).add(k)
+    assert all(len(x) == 1 for x in known.values())
+
+
 # SimHash
 
 
