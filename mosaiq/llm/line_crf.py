@@ -3,8 +3,10 @@
 Every line is labelled good or bad from its own features and those of the lines before and after it; the chain's weights
 couple neighbouring labels. Forward-backward gives each line's probability of being good, and a document's score is
 their mean weighted by line length in bytes. For training every line of a labelled document carries the document's
-label; the fit uses at most MAX_DOCS labelled documents (the least by a hash of the id) and the first MAX_LINES lines of
-each: a fixed, documented bound, so the driver holds the same amount whatever the input. Scoring takes whole texts.
+label; the fit uses at most MAX_DOCS labelled documents (the least by a hash of the id) and all their lines, in chains of
+MAX_LINES lines at most. If they hold over MAX_DOCS * MAX_LINES lines together, a share of the chains is taken by a hash
+of id and place: a fixed, documented bound, so the driver holds the same amount whatever the input, and no part of a
+text is left out for where it stands. Scoring takes whole texts.
 
 Scores read the text alone: no label, language, source or id.
 
@@ -187,16 +189,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = labels.where(~held_out(id_col) & F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull()).orderBy(F.xxhash64(F.col(f"`{id_col}`")), F.col(f"`{id_col}`")).select(F.col(f"`{id_col}`").alias("_key"), F.col(f"`{label_col}`").cast("int").alias("_label")).limit(max_docs)
     src = picked(docs, id_col, text_col)
     rows = src.join(F.broadcast(some), F.col("_id") == F.col("_key")).select("_id", "_label", "_text")  # max_docs rows at most are broadcast
+    lines = rows.agg(F.sum(F.coalesce(F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1)).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                texts = [b"\n".join((t or b"").split(b"\n", max_lines)[:max_lines]) for t in b.column(2).cast(pa.binary()).to_pylist()]
-                x, _, counts = line_features(texts)
-                cuts = np.r_[0, np.cumsum(counts)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[s:e].ravel().astype(np.float32) for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.float32()))], names=["_id", "_label", "x"])
-
-    got = rows.mapInArrow(run, f"_id {id_type(src)}, _label int, x array<float>").orderBy("_id", "_label").limit(2 * max_docs).toPandas()
+                x, _, counts = line_features([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()])
+                at = np.r_[0, np.cumsum(counts)]
+                cuts = [(k, part, lo, min(lo + max_lines, at[k + 1])) for k in range(len(counts)) for part, lo in enumerate(range(at[k], at[k + 1], max_lines))]
+                who = pa.array([k for k, *_ in cuts], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(1).take(who), pa.array([c[1] for c in cuts], pa.int32()), pa.array([x[lo:hi].ravel().astype(np.float32) for _, _, lo, hi in cuts], pa.list_(pa.float32()))], names=["_id", "_label", "_part", "x"])
+
+    found = rows.mapInArrow(run, f"_id {id_type(src)}, _label int, _part int, x array<float>")
+    if lines > max_docs * max_lines:
+        found = found.where(F.pmod(F.xxhash64("_id", "_part"), F.lit(lines)) < max_docs * max_lines)
+    #: Repeated rows aside there are no more chains than this.
+    got = found.orderBy(F.xxhash64("_id", "_part"), "_id", "_label", "_part").limit(3 * max_docs).toPandas().sort_values(["_id", "_label", "_part"], kind="stable")
     if not len(got):
         return blank()
     parts = [np.asarray(v, np.float64).reshape(-1, WIDTH) for v in got["x"]]

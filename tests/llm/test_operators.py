@@ -310,6 +310,20 @@ def test_line_quality(spark, data, odd, empty):
     assert {r["score"] for r in line_crf.line_quality(odd, blank).collect()} == {0.5}
 
 
+def test_fit_reads_lines_wherever_they_stand(spark, monkeypatch):
+    clean, junk = "A calm sentence of ordinary words ends here.", "### $$$ <<< BUY NOW >>> !!! ||| ###"
+    texts = [(k, "\n".join([f"{clean} {j}" for j in range(210)] + [junk if k % 2 else clean] * 90)) for k in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k, _ in texts], "doc_id long, quality int")
+    bad, good = line_crf.good_shares([junk.encode(), clean.encode()], line_crf.train(docs, labels))
+    assert bad < 0.2 < 0.5 < good
+
+    sizes, fit = [], line_crf.fit
+    monkeypatch.setattr(line_crf, "fit", lambda x, counts, labels: (sizes.append(counts), fit(x, counts, labels))[1])
+    bad, good = line_crf.good_shares([junk.encode(), clean.encode()], line_crf.train(docs, labels, max_docs=40, max_lines=50))
+    assert bad < good and sizes[0].max() <= 50 and 0.5 * 2000 < sizes[0].sum() < 1.5 * 2000
+
+
 def test_score_does_not_depend_on_the_batch():
     rng = np.random.default_rng(2)
     model = line_crf.Model(rng.normal(size=line_crf.WIDTH) / 5, rng.normal(size=(2, 2)))
