@@ -1,7 +1,6 @@
 """Secret scans with DataFrame functions only: fixed patterns, and character Markov models.
 
-Candidates are runs of 16 or more characters of [A-Za-z0-9+/_=-] with a digit or a change from lower to upper case. Two
-first-order Markov models, of random strings and of ordinary identifiers, are estimated from labelled samples; a candidate
+Candidates are runs of 16 or more characters of [A-Za-z0-9+/_=-]; shorter ones are left to the patterns. Two first-order Markov models, of random strings and of ordinary identifiers, are estimated from labelled samples; a candidate
 is a secret if its log-likelihood ratio is at least `odds` nats. Spans of the patterns (kinds assign, access, hex) always
 stay; a markov span that overlaps one of them is left out.
 
@@ -34,11 +33,20 @@ HINTS = {
     "access": r"AKIA[A-Z0-9]{16}",
     "hex": r"[0-9a-f]{24}",
 }
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 KINDS = (*PATTERNS, "markov")
 #: Labelled strings of either kind that are made or sampled for the models, and documents sampled for words.
 SAMPLE_STRINGS, SAMPLE_DOCS = 3000, 2000
 MARK = "[SECRET]"
+#: Words of paths and code, which prose has not.
+CODE = (
+    "api app args array assets async auth await backend base bin bool boolean bucket buffer build bytes cache callback char check class client cluster cmd com common component config console const container content context controller core "
+    "css data database debug default delete dest dev dict dir dist docs domain double driver dst edu email enum env error event example exec export fetch file filter float folder format frontend func function get git github handler hash header "
+    "home host html http https id image img import include index info init input instance int integer interface internal io java javascript js json key kernel lib library link linux list local log logger login main manager map master message "
+    "method mod model module mount net node npm null number object opt org output package page param parse password path payload php plugin pool port project property protected proxy public pull push py python query queue readme regex render repo "
+    "request require resource response result return root router run schema script select self server service session set settings shared socket source spec sql src static status store stream string struct style sync sys system table target "
+    "task temp template test tests thread timeout tmp token tool tree txt type update upload url user usr utils validate value var vector version view void web widget window workspace wrapper www xml yaml zip"
+).split()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,7 +84,7 @@ def _codes(token: Column) -> Column:
 def labelled_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strings: int = SAMPLE_STRINGS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """label ('random' or 'ordinary') and string. Random: hexadecimal, base64 and upper-case digests of numbers.
     Ordinary: words of documents (about sample_docs of them, chosen by a hash of the id) alone and joined as
-    identifiers, and dates, counters and paths made of them."""
+    identifiers, and dates, counters and paths made of them; words of code joined so; and ruled lines."""
     spark = docs.sparkSession
     n = F.col("id").cast("string")
     sha = F.sha2(n, 256)
@@ -85,6 +93,8 @@ def labelled_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.lit("random").alias("label"),
         F.explode(F.array(F.substring(sha, 1, 40), b64, F.substring(F.regexp_replace(b64, "[+/]", ""), 1, 32), F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(F.sha1(n))), "[^A-Za-z0-9]", ""), 1, 20))))).alias("string"),
     )
+    rules = [F.repeat(F.lit(c), 80) for c in "-_=+/"] + [F.repeat(F.lit(f"+{c * 9}"), 8) for c in "-="] + [F.repeat(F.lit("-="), 40)]
+    ruled = spark.range(strings // 10).select(F.lit("ordinary").alias("label"), F.explode(F.array(*rules)).alias("string"))
     step = max(1, docs.count() // max(sample_docs, 1))
     words = (
         docs.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(step)) == 0)
@@ -96,7 +106,9 @@ def labelled_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return F.array(a, F.concat_ws("_", a, b, c), F.concat(F.lower(a), F.initcap(b), F.initcap(c)), F.concat_ws("-", a, b, F.lit("2024-01-15")), F.concat_ws("/", a, b, c), F.upper(F.concat_ws("_", a, b)), F.concat(a, i.cast("string")), F.concat_ws("_", b, F.lit("v2"), i.cast("string")), F.concat(F.lit("0000"), (i * 1237).cast("string"), F.lit("00")))
 
     ordinary = words.select(F.lit("ordinary").alias("label"), F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 3, F.lit(3)), lambda i: joined(i, F.col("w"))))).alias("string"))
-    return made.union(ordinary)
+    code = [sep.join(CODE[(i * k + j) % len(CODE)] for j in range(4)) for i in range(len(CODE)) for k, sep in ((1, "/"), (3, "-"), (7, "_"))]
+    coded = spark.createDataFrame([(c,) for c in code], "c string").select(F.lit("ordinary").alias("label"), F.explode(F.array_repeat(F.concat(F.lit("/"), "c"), max(1, strings // 60))).alias("string"))
+    return made.union(ordinary).union(ruled).union(coded)
 
 
 def transition_ratios(strings: DataFrame, smoothing: float = 0.5, symbols: int = 64) -> list[float]:

@@ -449,6 +449,16 @@ def test_secret_spans(spark, docs, odd, empty):
     assert se.scan_secrets(odd, ratios).count() == odd.count() and se.scan_secrets(empty).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_letters_of_one_case_are_secrets(spark, docs, letters):
+    rng = random.Random(5)
+    values = ["".join(rng.choice(letters) for _ in range(16 + k % 25)) for k in range(100)]
+    plain = ["-" * 40, "=" * 40, "_" * 16, "/" * 20, "+-----+------+-----+", "CONTINUOUS_INTEGRATION_SERVER", "src/main/java/com/example/project", "internationalization", "Donaudampfschifffahrtsgesellschaft"]
+    found = [r["spans"] for r in se.scan_secrets(spark.createDataFrame([(k, f"value {v} end") for k, v in enumerate(values + plain)], "doc_id long, text string"), se.trained(docs)).orderBy("doc_id").collect()]
+    assert sum(x == f"markov:6:{6 + len(v)}" for x, v in zip(found, values, strict=False)) >= 90
+    assert found[100:] == [""] * len(plain)
+
+
 def test_redaction(spark, docs):
     frame = spark.createDataFrame(list(enumerate(SECRET_TEXTS)), "doc_id long, text string")
     got = dict(se.redact_secrets(frame, se.trained(docs)).collect())
