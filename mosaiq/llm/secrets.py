@@ -83,7 +83,7 @@ def _codes(token: Column) -> Column:
 
 def labelled_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strings: int = SAMPLE_STRINGS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """label ('random' or 'ordinary') and string. Random: hexadecimal, base64 and upper-case digests of numbers.
-    Ordinary: words of documents (about sample_docs of them, chosen by a hash of the id) alone and joined as
+    Ordinary: all words of documents (about sample_docs of them, chosen by a hash of the id) alone and joined as
     identifiers, and dates, counters and paths made of them; words of code joined so; and ruled lines."""
     spark = docs.sparkSession
     n = F.col("id").cast("string")
@@ -98,14 +98,15 @@ def labelled_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     step = max(1, docs.count() // max(sample_docs, 1))
     words = (
         docs.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(step)) == 0)
-        .select(F.slice(F.regexp_extract_all(F.col(f"`{text_col}`").cast("string"), F.lit(r"(?<![^\x20\n])([A-Za-z]{2,24})(?![^\x20\n])"), F.lit(1)), 1, 300).alias("w"))
+        .select(F.regexp_extract_all(F.col(f"`{text_col}`").cast("string"), F.lit(r"(?<![^\x20\n])([A-Za-z]{2,24})(?![^\x20\n])"), F.lit(1)).alias("w"))
         .where(F.size("w") >= 3)
     )
-    def joined(i: Column, w: Column) -> Column:
-        a, b, c = F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)
+    def joined(t: Column) -> Column:
+        i, a, b, c = t["i"], t["a"], t["b"], t["c"]
         return F.array(a, F.concat_ws("_", a, b, c), F.concat(F.lower(a), F.initcap(b), F.initcap(c)), F.concat_ws("-", a, b, F.lit("2024-01-15")), F.concat_ws("/", a, b, c), F.upper(F.concat_ws("_", a, b)), F.concat(a, i.cast("string")), F.concat_ws("_", b, F.lit("v2"), i.cast("string")), F.concat(F.lit("0000"), (i * 1237).cast("string"), F.lit("00")))
 
-    ordinary = words.select(F.lit("ordinary").alias("label"), F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 3, F.lit(3)), lambda i: joined(i, F.col("w"))))).alias("string"))
+    three = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3, F.lit(3)), lambda i: F.struct(i.alias("i"), *(F.get("w", i + k).alias(n) for k, n in enumerate("abc"))))).alias("t"))
+    ordinary = three.select(F.lit("ordinary").alias("label"), F.explode(joined(F.col("t"))).alias("string"))
     code = [sep.join(CODE[(i * k + j) % len(CODE)] for j in range(4)) for i in range(len(CODE)) for k, sep in ((1, "/"), (3, "-"), (7, "_"))]
     coded = spark.createDataFrame([(c,) for c in code], "c string").select(F.lit("ordinary").alias("label"), F.explode(F.array_repeat(F.concat(F.lit("/"), "c"), max(1, strings // 60))).alias("string"))
     return made.union(ordinary).union(ruled).union(coded)

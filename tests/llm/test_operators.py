@@ -459,6 +459,11 @@ def test_random_letters_of_one_case_are_secrets(spark, docs, letters):
     assert found[100:] == [""] * len(plain)
 
 
+def test_words_are_learned_wherever_they_stand(spark):
+    docs = spark.createDataFrame([(1, "calm words here " * 200 + "zyxq qxyz xyqz " * 200)], "doc_id long, text string")
+    assert "zyxq_qxyz_xyqz" in {r["string"] for r in se.labelled_strings(docs).where("label = 'ordinary'").distinct().collect()}
+
+
 def test_redaction(spark, docs):
     frame = spark.createDataFrame(list(enumerate(SECRET_TEXTS)), "doc_id long, text string")
     got = dict(se.redact_secrets(frame, se.trained(docs)).collect())
