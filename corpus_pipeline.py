@@ -15,7 +15,7 @@ from mosaiq.llm.decontaminate import drop_contaminated
 from mosaiq.llm.line_crf import keep_good, train
 from mosaiq.llm.packing import pack
 from mosaiq.llm.secrets import redact_secrets
-from mosaiq.llm.simhash import simhash_components
+from mosaiq.llm.simhash import fingerprints, rooted_fingerprints
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +24,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each component of like fingerprints, the document with the least id; copies of that row stay one."""
+    """Keeps, of each component of like fingerprints, the document with the least id; copies of that row stay one. Rows that
+    repeat an id are told apart by their texts' fingerprints: each goes or stays with its own component alone."""
     named = docs.where(F.col("doc_id").isNotNull())
-    found = simhash_components(named)
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
+    found = rooted_fingerprints(named)
+    lost = found.where("_id <> component_id").select(F.col("_id").alias("_lost")).distinct()
     again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"))
-    kept = docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
     if again.isEmpty():
-        return kept
-    repeated = kept.join(again, kept["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, kept["doc_id"] == again["_again"], "left_anti").unionByName(repeated)
+        return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
+    once = docs.join(again, docs["doc_id"] == again["_again"], "left_anti")
+    once = once.join(lost, once["doc_id"] == lost["_lost"], "left_anti")
+    repeated = named.join(again, named["doc_id"] == again["_again"], "left_semi")
+    texts = fingerprints(repeated.select(F.struct("doc_id", "text").alias("_key"), "text").distinct(), "_key").select("_id.doc_id", "_id.text", "_fp")
+    least = found.where("_id = component_id").groupBy("root").agg(F.min(F.struct("_id", "_fp")).alias("_x")).select(F.col("_x._id").alias("_kept"), F.col("_x._fp").alias("_of"))
+    stay = texts.join(least, (texts["doc_id"] == least["_kept"]) & (texts["_fp"] == least["_of"])).groupBy("_kept", "_of").agg(F.min("text").alias("_text"))
+    rows = repeated.join(stay.select("_kept", F.col("_text").alias("_own")), (repeated["doc_id"] == F.col("_kept")) & repeated["text"].eqNullSafe(F.col("_own")), "left_semi")
+    return once.unionByName(rows.dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,12 +178,17 @@ def fingerprint_links(nodes: DataFrame, fp_col: str = "_fp", rows_per_task: int
     return nodes.select(fp_col).mapInArrow(emit, "key long, fp long").repartition(tasks, "key").mapInArrow(meet, "u long, v long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: id, fingerprint (16 lowercase hex digits) and component_id, the least id reachable."""
+def rooted_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: _id, _fp, root (the same for a component's rows alone) and component_id."""
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = written(fps.groupBy("_fp").agg(F.min("_id").alias("rep")), "nodes")
     found = components(fingerprint_links(nodes))
     rooted = nodes.join(found, nodes["_fp"] == found["node"], "left").select("_fp", "rep", F.coalesce("component", "_fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("_fp").alias("fp"), "component_id")
-    return fps.join(named, fps["_fp"] == named["fp"]).select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(least, "root").select(F.col("_fp").alias("fp"), "root", "component_id")
+    return fps.join(named, fps["_fp"] == named["fp"]).select("_id", "_fp", "root", "component_id")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: id, fingerprint (16 lowercase hex digits) and component_id, the least id reachable."""
+    return rooted_fingerprints(docs, id_col, text_col).select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")

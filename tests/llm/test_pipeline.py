@@ -57,6 +57,17 @@ def test_dedup_of_odd_rows(spark, odd, empty):
     assert sum(r["doc_id"] is None for r in rows) == 1 and cp.simhash_dedup(spark, empty, "").count() == 0
 
 
+def test_dedup_of_rows_that_share_an_id(spark):
+    def text(k):
+        return " ".join(f"w{k}x{j}" for j in range(60))
+
+    rows = [(1, text(1)), (2, text(2)), (2, text(3)), (2, text(3)), (3, text(4)), (3, text(1)), (4, text(5)), (5, text(3)), (6, None), (6, text(6)), (None, text(1)), (7, text(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = cp.simhash_dedup(spark, docs, "").collect()
+    want = [(1, text(1)), (2, text(2)), (2, text(3)), (3, text(4)), (4, text(5)), (6, None), (6, text(6)), (None, text(1))]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_no_import_guard_or_local_checkpoint():
     for path in [Path(cp.__file__), *Path(mosaiq.llm.__path__[0]).glob("*.py")]:
         assert not re.search(r"except (Import|ModuleNotFound)Error|localCheckpoint", path.read_text())
