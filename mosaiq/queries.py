@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from decimal import Decimal
@@ -16,6 +15,7 @@ from .operators.predicates import ANY_NULL, DB_NULL, JSON_NULL, FieldRef
 from .plans import sets
 from .plans.read import Reader
 from .schema import Model, Registry, Relation, big_int, date_time, decimal, floating, integer, json, many_to_many, string, to_many, to_one, vector
+from .scratch import scratch_path
 from .sources import FrameSource, LayeredSource, ParquetSource, query
 from .sources.store import SnapshotStore
 from .streaming import find_stream, group_stream
@@ -426,8 +426,7 @@ def _(r: Reader) -> DataFrame:
 
 def _writes(spark: SparkSession, sf_dir: str, *tables: str) -> Engine:
     """An engine over a store that starts with these tables of the source."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    store = SnapshotStore(spark, f"{place.rstrip('/')}/mosaiq-store-{uuid.uuid4().hex}")
+    store = SnapshotStore(spark, scratch_path(spark, "store"))
     tx = store.begin()
     for t in tables:
         tx.create_table(t, ParquetSource(spark, sf_dir).load(t))
@@ -486,10 +485,9 @@ def _(e: Engine) -> DataFrame:
 
 def _streamed(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
     """What an available-now run of the stream has put out."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
     name = f"mosaiq_stream_{uuid.uuid4().hex}"
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    writer.option("checkpointLocation", f"{place.rstrip('/')}/{name}").start().awaitTermination()
+    writer.option("checkpointLocation", scratch_path(spark, "stream")).start().awaitTermination()
     return spark.table(name)
 
 
