@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import delete, scratch_path
+
 #: Rows and bytes of one Arrow batch handed to a Python worker: a bound on a worker's memory whatever the texts' lengths.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
@@ -34,20 +32,6 @@ def prepare(spark: SparkSession) -> None:
     sc._mosaiq_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="mosaiq-shared-")
-        sc.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/mosaiq-{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -59,12 +43,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more."""
+    """Deletes a table of written() that nothing reads any more; the others go when the application ends."""
     path = getattr(df, "_mosaiq_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, path)
 
 
 def picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,29 +54,9 @@ def picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str, carry: str = "_id") -> DataFrame:
-    """For each Arrow batch of (carry, _text): make()(texts) gives further columns. make runs once a task, on the executor."""
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for b in batches:
-            if b.num_rows:
-                got = work(b.column(b.schema.get_field_index("_text")).to_pylist())
-                cols = {carry: b.column(b.schema.get_field_index(carry))} | got
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in (cols[n] for n in names)], names=names)
-
-    return df.mapInArrow(run, schema)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_type(df: DataFrame, col: str = "_id") -> str:
     return df.schema[col].dataType.simpleString()
-
-
-def env_path(variable: str, default: Iterable[str]) -> str:
-    """A path parameter: the environment variable, else the first default that exists."""
-    return os.environ.get(variable) or next((p for p in default if os.path.exists(p)), next(iter(default), ""))
