@@ -33,12 +33,13 @@ def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links: two columns u, v of one orderable type. A row (node, component) for every node that has a link to another
-    node, component being the least node it reaches, itself included. Self-links, repeats and nulls don't matter."""
+    node, component being the least node it reaches, itself included. Self-links, repeats and nulls don't matter. Goes on
+    until a round changes nothing; the rounds grow with the logarithm of the number of nodes."""
     e = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == mark:
             break
@@ -51,6 +52,4 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         new = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         forget(e)
         e = new
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

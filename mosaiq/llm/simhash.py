@@ -8,8 +8,12 @@ fingerprints at distance 3 or less share such a key; rows are dealt by key, and
 verified pairs, never all pairs. 131 rows of two integers a distinct fingerprint are shuffled, against 2,081 if every
 fingerprint emitted its whole ball of radius 2.
 
-Equal fingerprints are one node, so copies cost nothing however many there are. Keys that very many distinct
-fingerprints share are linked by full-ball hashing inside the task (see ball_links), which is linear in their number.
+Equal fingerprints are one node, so copies cost nothing however many there are. Many distinct fingerprints may still share
+a key. A key's fingerprints have, in the bits that it keeps, at most one bit other than it, so if no value of these bits
+(three a fingerprint, counted before) has HEAVY fingerprints or more, no key has over 44 x HEAVY. Keys next to a heavier
+value are taken out and their fingerprints are linked by full-ball hashing instead (see ball_rows): about 600 rows each,
+but any key has 1,057 of them at most, whatever the data, and a hub for them needs no pairs. So both ways deal bounded
+groups over tasks, and the cost is linear in the number of fingerprints.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of one or two words are one
 shingle; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored. Null ids
@@ -24,7 +28,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_type, picked, prepare, written
@@ -33,7 +37,10 @@ from .components import components, local_roots
 RADIUS = 3
 #: First and last bit (exclusive) of the part that is left out.
 PARTS = ((0, 21), (21, 42), (42, 64))
-LONG_RUN = 512
+#: Fingerprints that share a key: beyond it pairs aren't compared one by one. And those of one value of the bits kept.
+LONG_RUN, HEAVY = 512, 64
+#: Keys that may be broadcast: 8 MB.
+BROADCAST_KEYS = 1_000_000
 _ONE = np.uint64(1)
 
 
@@ -97,36 +104,39 @@ def canonical(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def ball_links(fp: np.ndarray, passes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links with the same components as all pairs within the radius, in time linear in len(fp): a fingerprint of even
-    parity emits its ball of radius 1, one of odd parity that and its two-bit variants with both bits in the same half.
-    Of three differing bits two lie in the same half, so pairs at distance 3 (or 1) of unlike parity meet, as do pairs at
-    distance 2 of like parity; and whatever meets a member of a radius-1 ball is within 1 + 2 of it, so no check is
-    needed: all that share a key with such a member hang on it."""
-    fp = np.unique(fp)
-    ones = [np.uint64(0)] + [np.uint64(1 << b) for b in range(64)]
-    twos = [np.uint64(1 << a | 1 << b) for h in (0, 32) for a in range(h, h + 32) for b in range(a + 1, h + 32)]
+_ONES = np.array([0] + [1 << b for b in range(64)], np.uint64)
+_TWOS = np.array([1 << a | 1 << b for h in (0, 32) for a in range(h, h + 32) for b in range(a + 1, h + 32)], np.uint64)
+
+
+def ball_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, their fingerprints, and whether the key is within radius 1 of it. A fingerprint of even parity emits its ball of
+    radius 1, one of odd parity that and its two-bit variants with both bits in the same half. Of three differing bits two
+    lie in the same half, so pairs at distance 3 (or 1) of unlike parity meet, as do pairs at distance 2 of like parity; and
+    whatever meets a member of a radius-1 ball is within 1 + 2 of it, so no check is needed: all that share a key with such a
+    member hang on it."""
     odd = fp[np.bitwise_count(fp) % 2 == 1]
-    passes = passes or max(1, len(fp) * 600 // 4_000_000)
-    us, vs = [], []
-    for p in range(passes):
-        keys, who, near = [], [], []
-        for group, flips, flag in ((fp, ones, 1), (odd, twos, 0)):
-            for f in flips:
-                k = group ^ f
-                take = (k * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(passes) == p
-                keys.append(k[take])
-                who.append(group[take])
-                near.append(np.full(int(take.sum()), flag, np.int8))
-        k, w, s = np.concatenate(keys), np.concatenate(who), np.concatenate(near)
-        order = np.lexsort((-s, k))
-        k, w, s = k[order], w[order], s[order]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
-        hub = np.repeat(first, np.diff(np.r_[first, len(k)]))
-        take = (s[hub] == 1) & (hub != np.arange(len(k)))
-        us.append(w[take])
-        vs.append(w[hub[take]])
-    return np.concatenate(us), np.concatenate(vs)
+    keys = np.concatenate([(fp[:, None] ^ _ONES).ravel(), (odd[:, None] ^ _TWOS).ravel()])
+    who = np.concatenate([np.repeat(fp, len(_ONES)), np.repeat(odd, len(_TWOS))])
+    return keys, who, np.arange(len(keys)) < len(fp) * len(_ONES)
+
+
+def hub_links(keys: np.ndarray, who: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of all rows of a key to one that is near it."""
+    order = np.lexsort((~near, keys))
+    k, w, s = keys[order], who[order], near[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
+    hub = np.repeat(first, np.diff(np.r_[first, len(k)]))
+    take = s[hub] & (hub != np.arange(len(k)))
+    return w[take], w[hub[take]]
+
+
+def ball_links(fp: np.ndarray, passes: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components as all pairs within the radius. Rows are made in `passes` parts, by the key's hash."""
+    fp = np.unique(fp)
+    keys, who, near = ball_rows(fp)
+    part = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(passes)
+    found = [hub_links(keys[part == p], who[part == p], near[part == p]) for p in range(passes)]
+    return np.concatenate([u for u, _ in found]), np.concatenate([v for _, v in found])
 
 
 def verified(keys: np.ndarray, fp: np.ndarray, long_run: int = LONG_RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -157,10 +167,34 @@ def verified(keys: np.ndarray, fp: np.ndarray, long_run: int = LONG_RUN) -> tupl
     return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
 
 
-def fingerprint_links(nodes: DataFrame, fp_col: str = "_fp", rows_per_task: int = 2_000_000) -> DataFrame:
+def _arrays(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """The columns of all batches: longs as unsigned ones."""
+    got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    return [x.view(np.uint64) if x.dtype == np.int64 else x for x in map(np.concatenate, zip(*got, strict=True))]
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    node, root = local_roots(u.view(np.int64), v.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
+
+
+def hot_keys(nodes: DataFrame, fp_col: str = "_fp", heavy: int = HEAVY) -> DataFrame:
+    """The keys next to a value of the bits kept that has `heavy` fingerprints or more; every key that more than 44 x heavy
+    fingerprints share is among them."""
+
+    def signed(x: np.uint64) -> Column:
+        return F.lit(int(x.view(np.int64)))
+
+    kept = F.array(*(F.struct(F.lit(k).alias("table"), F.col(fp_col).bitwiseAND(signed(keep)).alias("kept")) for k, (keep, _, _) in enumerate(TABLES)))
+    values = nodes.select(F.explode(kept).alias("x")).groupBy("x.table", "x.kept").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= heavy)
+    flips = F.array(*(F.array(*(F.struct(signed(x).alias("flip"), signed(tag).alias("tag")) for x in f)) for _, tag, f in TABLES))
+    return values.select(F.explode(F.get(flips, F.col("table"))).alias("f"), "kept").select(F.col("kept").bitwiseXOR(F.col("f.flip")).bitwiseOR(F.col("f.tag")).alias("hot")).distinct()
+
+
+def fingerprint_links(nodes: DataFrame, fp_col: str = "_fp", rows_per_task: int = 2_000_000, heavy: int = HEAVY) -> DataFrame:
     """u, v: links that join the same fingerprints as all pairs at distance 3 or less. nodes: distinct fingerprints."""
     spark = nodes.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * KEYS // rows_per_task + 1)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,13 +203,34 @@ def fingerprint_links(nodes: DataFrame, fp_col: str = "_fp", rows_per_task: int
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp.view(np.int64))], names=["key", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)) for b in batches]
+        got = _arrays(batches)
         if got:
-            u, v = verified(*(np.concatenate(x) for x in zip(*got, strict=True)))
-            node, root = local_roots(u.view(np.int64), v.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
+            yield _forest(*verified(*got))
 
-    return nodes.select(fp_col).mapInArrow(emit, "key long, fp long").repartition(tasks, "key").mapInArrow(meet, "u long, v long")
+    def emit_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                keys, who, near = ball_rows(b.column(0).slice(lo, 500).to_numpy().view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(who.view(np.int64)), pa.array(near)], names=["key", "fp", "near"])
+
+    def meet_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _arrays(batches)
+        if got:
+            yield _forest(*hub_links(*got))
+
+    emitted = nodes.select(fp_col).mapInArrow(emit, "key long, fp long")
+    hot, dense = written(hot_keys(nodes, fp_col, heavy), "hot-keys"), None
+    n = hot.count()
+    if n:
+        hot = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
+        dense = written(emitted.join(hot, F.col("key") == F.col("hot"), "left_semi").select("fp").distinct(), "dense")
+        emitted = emitted.join(hot, F.col("key") == F.col("hot"), "left_anti")
+    tasks = max(least, nodes.count() * KEYS // rows_per_task + 1)
+    links = emitted.repartition(tasks, "key").mapInArrow(meet, "u long, v long")
+    if dense is None:
+        return links
+    tasks = max(least, dense.count() * 600 // rows_per_task + 1)
+    return links.union(dense.mapInArrow(emit_balls, "key long, fp long, near boolean").repartition(tasks, "key").mapInArrow(meet_hubs, "u long, v long"))
 
 
 def rooted_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
