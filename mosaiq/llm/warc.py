@@ -5,12 +5,16 @@ if it decodes to a WARC header, its Content-Length agrees with what was decoded
 file follows, and then owns every record that starts inside its range, reading past the end to finish the last one. So
 the tasks of a file need no index and no record is read twice or missed.
 
-A writing task makes one file in the shared folder and reports it in a manifest; files of failed or repeated attempts
-aren't in the manifest and are never read. Memory is that of one record and one batch.
+Which page is stored and which refers to it is found from ids and digests alone. The digests that several pages share are
+brought to the pages by a broadcast if they are at most BROADCAST_DIGESTS, else by a join that moves the pages.
+
+A writing task makes one file in the shared folder and reports it in a manifest, a table there; files of failed or
+repeated attempts aren't in the manifest and are never read. Memory is that of one record and one batch.
 
 Defined cases: a null payload is empty; equal payloads of at least min_bytes are stored once, by the largest id (rows that
 repeat that id are all responses); a null id is written and read back as null and is never referred to; empty tables
-give no file and an empty result; other columns are ignored.
+give no file and an empty result; other columns are ignored. A record that breaks off or doesn't match its digest ends the
+read with a ValueError.
 """
 
 from __future__ import annotations
@@ -26,13 +30,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, scratch_path
+from ..scratch import scratch_path
+from .common import prepare, written
 
 MAGIC = b"\x1f\x8b\x08"
 URN = "urn:mosaiq:page:"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
+#: Digests of payloads that several pages share, up to which they are broadcast: about 20 MB.
+BROADCAST_DIGESTS = 200_000
 
 
 def digest(payload: bytes) -> str:
@@ -72,32 +79,57 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes] | None:
 
 
 class _Window:
-    """A sliding window over a file."""
+    """A part of a file that slides on. What lies behind `at` is let go when more is read."""
 
     def __init__(self, file: pa.NativeFile, at: int):
-        self.file, self.at, self.data, self.size = file, at, b"", file.size()
+        self.file, self.base, self.place, self.data = file, at, 0, bytearray()
+
+    @property
+    def at(self) -> int:
+        return self.base + self.place
+
+    def __len__(self) -> int:
+        return len(self.data) - self.place
 
     def more(self) -> bool:
-        self.file.seek(self.at + len(self.data))
+        if self.place > CHUNK:
+            del self.data[: self.place]
+            self.base, self.place = self.base + self.place, 0
+        self.file.seek(self.base + len(self.data))
         got = self.file.read(CHUNK)
         self.data += got
         return bool(got)
 
-    def skip(self, n: int) -> None:
-        self.at, self.data = self.at + n, self.data[n:]
+    def ahead(self, n: int, size: int) -> bytes:
+        """Up to size bytes from n bytes on, read if need be."""
+        while len(self) < n + size and self.more():
+            pass
+        return bytes(self.data[self.place + n : self.place + n + size])
+
+    def find(self, what: bytes) -> bool:
+        """Goes on to the next occurrence; false, and on to the end, if there is none."""
+        while True:
+            k = self.data.find(what, self.place)
+            if k >= 0:
+                self.place = k
+                return True
+            self.place = max(self.place, len(self.data) - len(what) + 1)
+            if not self.more():
+                self.place = len(self.data)
+                return False
 
 
 def _member(w: _Window) -> tuple[bytes, int] | None:
     """The decoded member that starts at the window's start and its packed length; None if there is none."""
-    unpack, out, used = zlib.decompressobj(31), [], 0
+    unpack, out, used, step = zlib.decompressobj(31), [], 0, CHUNK >> 6
     try:
         while not unpack.eof:
-            if used == len(w.data) and not w.more():
+            piece = w.ahead(used, step)
+            if not piece:
                 return None
-            piece = w.data[used : used + CHUNK]
-            used += len(piece)
+            used, step = used + len(piece), min(2 * step, CHUNK)
             out.append(unpack.decompress(piece))
-            if sum(map(len, out[:1])) >= 7 and not out[0].startswith(b"WARC/1."):
+            if len(out[0]) >= 7 and not out[0].startswith(b"WARC/1."):
                 return None
     except zlib.error:
         return None
@@ -107,51 +139,36 @@ def _member(w: _Window) -> tuple[bytes, int] | None:
 def read_range(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Offset, header and block of each record that starts in [start, end)."""
     w, known = _Window(file, start), False
-    while w.at < end:
-        while len(w.data) < len(MAGIC) and w.more():
-            pass
-        if not known:
-            at = w.data.find(MAGIC)
-            if at < 0:
-                keep = min(len(w.data), len(MAGIC) - 1)
-                w.skip(len(w.data) - keep)
-                if not w.more():
-                    return
-                continue
-            w.skip(at)
-            if w.at >= end:
-                return
+    while w.at < end and w.ahead(0, 1):
+        if not known and (not w.find(MAGIC) or w.at >= end):
+            return
         got = _member(w)
         found = got and parse(got[0])
+        if found and w.ahead(got[1], len(MAGIC)) not in (b"", MAGIC):
+            found = None
         if found:
-            n = got[1]
-            while len(w.data) < n + len(MAGIC) and w.more():
-                pass
-            found = w.data[n : n + len(MAGIC)] in (b"", MAGIC) and found
-        if not found:
-            if known and w.data:
-                raise ValueError(f"broken record at byte {w.at}")
-            if not w.data:
-                return
-            w.skip(1)
-            continue
-        yield w.at, *found
-        known = True
-        w.skip(n)
-        if not w.data and not w.more():
-            return
+            yield w.at, *found
+            known = True
+            w.place += got[1]
+        elif known:
+            raise ValueError(f"broken record at byte {w.at}")
+        else:
+            w.place += 1
 
 
-def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """_id, _url, _payload and _refers: null for a response, else the id of the response with the same payload."""
     p = pages.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{url_col}`").cast("string").alias("_url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary").alias("_payload"))
     p = p.withColumn("_sha", F.unhex(F.sha1("_payload")))
     shared = p.where(F.octet_length("_payload") >= min_bytes).groupBy("_sha").agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_sha").alias("_key"), "_first")
+    shared = written(shared, "digests")
+    if shared.count() <= broadcast_digests:
+        shared = F.broadcast(shared)
     return p.join(shared, p["_sha"] == shared["_key"], "left").select("_id", "_url", "_payload", F.when(F.col("_id").isNull() | (F.col("_first") != F.col("_id")), F.col("_first")).alias("_refers"))
 
 
-def write_archives(roles: DataFrame, folder: str) -> list[tuple[str, int]]:
-    """Writes the records; path and bytes of each file of the attempts that counted."""
+def archives(roles: DataFrame, folder: str) -> DataFrame:
+    """Writes the records; a row (path, bytes) for each file of the attempts that counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
@@ -167,16 +184,26 @@ def write_archives(roles: DataFrame, folder: str) -> list[tuple[str, int]]:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{place.rpartition('/')[2]}"], "bytes": [n]})
 
-    return sorted((r["path"], r["bytes"]) for r in roles.mapInArrow(run, "path string, bytes long").collect())
+    return written(roles.mapInArrow(run, "path string, bytes long"), "manifest")
+
+
+def write_archives(roles: DataFrame, folder: str) -> list[tuple[str, int]]:
+    """The same as a list, for a number of files that the driver can hold."""
+    return sorted((r["path"], r["bytes"]) for r in archives(roles, folder).collect())
 
 
 SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def read_archives(spark: SparkSession, files: list[tuple[str, int]], split_bytes: int = 32 << 20, payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, files: DataFrame | list[tuple[str, int]], split_bytes: int = 32 << 20, payload: bool = True) -> DataFrame:
     """A row for each record of the files (path, bytes). A revisit's payload is null. Payload digests are checked."""
     prepare(spark)
-    splits = [(path, lo, min(n, lo + split_bytes)) for path, n in files for lo in range(0, n, split_bytes)]
+    files = files if isinstance(files, DataFrame) else spark.createDataFrame(files, "path string, bytes long")
+    files = files.where("bytes > 0")
+    starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
+    splits = files.select("path", F.explode(starts).alias("lo"), "bytes").select("path", "lo", F.least("bytes", F.col("lo") + split_bytes).alias("hi"))
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    splits = splits.repartitionByRange(int(n), "path", "lo")
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def number(text: str) -> int | None:
@@ -198,8 +225,7 @@ def read_archives(spark: SparkSession, files: list[tuple[str, int]], split_bytes
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for b in batches:
-            for k in b.column(0).to_pylist():
-                path, lo, hi = splits[k]
+            for path, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 store, place = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with store.open_input_file(place) as f:
@@ -212,12 +238,12 @@ def read_archives(spark: SparkSession, files: list[tuple[str, int]], split_bytes
                 if rows:
                     yield batch(rows)
 
-    return spark.range(0, len(splits), 1, max(1, len(splits))).mapInArrow(run, SCHEMA)
+    return splits.mapInArrow(run, SCHEMA)
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, split_bytes: int = 32 << 20) -> DataFrame:
     """Writes the pages as WARC files into the shared folder and reads their records back."""
     spark = pages.sparkSession
     prepare(spark)
-    files = write_archives(with_roles(pages, id_col, url_col, payload_col, min_bytes), scratch_path(spark, "warc"))
+    files = archives(with_roles(pages, id_col, url_col, payload_col, min_bytes), scratch_path(spark, "warc"))
     return read_archives(spark, files, split_bytes, payload=False)
