@@ -17,9 +17,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Known digests up to which they are broadcast: about 10 MB.
+BROADCAST_DIGESTS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line of copyright, and spellings that count as one.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n(]*(copyright[ \t]*(\(c\)|[0-9]{4}|<|\[)|\(c\)[ \t]*[0-9]{4}|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n(©]*(copyright[ \t]*(\(c\)|[0-9]{4}|<|\[)|copyright[ \t][^\n]*[ \t,-](19|20)[0-9]{2}|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*"
 SPELLINGS = (
     ("licence", "license"),
     ("licencing", "licensing"),
@@ -240,9 +242,10 @@ def license_scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: s
     known = known if known is not None else known_licenses()
     table = docs.sparkSession.createDataFrame(sorted(known.items()), "_digest string, license string")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    of = F.map_from_arrays(F.split(F.lit(",".join(known)), ","), F.split(F.lit(",".join(known.values())), ","))
+    of = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values())))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOTICE_HINT))
     found = F.transform(lines, lambda x: F.try_element_at(of, F.sha2(canonical(x), 256)))
     notices = F.when(text.rlike(NOTICE_HINT), F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda k: k.isNotNull()))), ",")).otherwise("")
     hashed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.sha2(canonical(text), 256).alias("text_digest"), notices.alias("notices"))
-    return hashed.join(F.broadcast(table), hashed["text_digest"] == table["_digest"], "left").select(F.col("_id").alias(id_col), "text_digest", "license", "notices")
+    table = F.broadcast(table) if len(known) <= BROADCAST_DIGESTS else table
+    return hashed.join(table, hashed["text_digest"] == table["_digest"], "left").select(F.col("_id").alias(id_col), "text_digest", "license", "notices")
