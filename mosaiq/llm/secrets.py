@@ -6,7 +6,7 @@ stay; a markov span that overlaps one of them is left out.
 
 Patterns are matched leftmost and without overlap, by kind; a match that is too short is dropped but keeps its place.
 Positions are code points, ends exclusive. Everything is an expression over one row, so nothing is shuffled and memory
-is that of a row. Only the models' transition counts, at most 2 x 128 x 128 rows, come to the driver.
+is that of a row; a row's time grows with its matches' number times its logarithm. Only the models' transition counts, at most 2 x 128 x 128 rows, come to the driver.
 
 Defined cases: a null text is empty and has no span; null ids are carried; repeated rows give repeated results; an
 empty table gives an empty result (the ordinary model then rests on its smoothing and the made identifiers); other
@@ -37,7 +37,11 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 KINDS = (*PATTERNS, "markov")
 #: Labelled strings of either kind that are made or sampled for the models, and documents sampled for words.
 SAMPLE_STRINGS, SAMPLE_DOCS = 3000, 2000
+#: Nats: the least multiple of 5 that at most 1 in 1,000 of the held-out ordinary strings reach.
+ODDS = 20.0
 MARK = "[SECRET]"
+#: Code points of the parts that a text is cut into to take pieces out of it.
+PART = 1024
 #: Words of paths and code, which prose has not.
 CODE = (
     "api app args array assets async auth await backend base bin bool boolean bucket buffer build bytes cache callback char check class client cluster cmd com common component config console const container content context controller core "
@@ -54,27 +58,57 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Distances of the passes of running(): their sum exceeds any array's length.
+_STEPS = [1 << k for k in range(31)]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """The first member, the first two joined, the first three, ...: log2(n) passes over an array of longs, as an array that
+    is extended member by member would be copied each time. start: what joins with anything to that."""
+
+    def doubled(acc: Column, step: Column) -> Column:
+        before = F.concat(F.array_repeat(F.lit(start).cast("long"), step), F.slice(acc, 1, F.size(acc) - step))
+        return F.zip_with(acc, before, lambda x, y: join(x, y))
+
+    return let(values, lambda v: F.aggregate(F.filter(F.array(*map(F.lit, _STEPS)), lambda s: s < F.size(v)), v, doubled))
+
+
 def found_spans(text: Column, kind: int, pattern: str, group: int, least: int, hint: str) -> Column:
     """array<struct<start, kind, end, value>> of the matches that count."""
     empty = F.expr("array_repeat(named_struct('start', 0L, 'kind', 0, 'end', 0L, 'value', ''), 0)")
+    p = F.lit(pattern)
 
-    def step(s: Column) -> Callable[[Column, Column], Column]:
-        def add(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(s["gaps"], i)).cast("long")
-            end = start + F.length(F.get(s["whole"], i)).cast("long")
-            value = F.get(s["value"], i)
-            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
-            return F.struct(end.alias("at"), F.when(F.length(value) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-        return add
+    def placed(s: Column) -> Column:
+        n = F.size(s["whole"])
+        ends = running(F.zip_with(F.slice(s["gaps"], 1, n), s["whole"], lambda g, w: (F.length(g) + F.length(w)).cast("long")), lambda x, y: x + y)
+        return let(F.struct(s["whole"].alias("whole"), s["value"].alias("value"), ends.alias("ends")), spans)
 
     def spans(s: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(s["whole"]) - 1), start, step(s), lambda acc: acc["out"])
+        def span(whole: Column, i: Column) -> Column:
+            end = F.get(s["ends"], i)
+            return F.struct((end - F.length(whole)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.get(s["value"], i).alias("value"))
 
-    p = F.lit(pattern)
-    got = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
-    return F.when(text.rlike(hint), let(got, spans)).otherwise(empty)
+        return F.filter(F.transform(s["whole"], span), lambda x: F.length(x["value"]) >= least)
+
+    got = let(F.regexp_extract_all(text, p, F.lit(0)), lambda whole: F.struct(F.split(text, pattern, -1).alias("gaps"), whole.alias("whole"), (F.regexp_extract_all(text, p, F.lit(group)) if group else whole).alias("value")))
+    return F.when(text.rlike(hint), let(got, placed)).otherwise(empty)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Those of spans that overlap none of others. In one order of the others' starts and the spans' ends, a span overlaps
+    one of the others before it if the furthest end of these lies beyond the span's start."""
+    none = F.lit(0).cast("long")
+    points = F.array_sort(F.concat(
+        F.transform(others, lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("other"), x["end"].alias("end"), x.alias("span"))),
+        F.transform(spans, lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("other"), none.alias("end"), x.alias("span"))),
+    ))
+
+    def kept(p: Column) -> Column:
+        furthest = running(F.transform(p, lambda x: x["end"]), F.greatest)
+        clear = F.zip_with(p, furthest, lambda x, f: F.struct(((x["other"] == 0) & (f <= x["span"]["start"])).alias("clear"), x["span"].alias("span")))
+        return F.transform(F.filter(clear, lambda x: x["clear"]), lambda x: x["span"])
+
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(let(points, kept))
 
 
 def _codes(token: Column) -> Column:
@@ -139,8 +173,7 @@ def secret_spans(text: Column, ratios: list[float], odds: float) -> Column:
     more = F.filter(found_spans(text, len(PATTERNS), CANDIDATE, 0, 16, CANDIDATE), lambda s: log_ratio(s["value"], ratios) >= odds)
 
     def joined(s: Column) -> Column:
-        own = F.filter(s["more"], lambda m: ~F.exists(s["base"], lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-        return F.struct(F.array_sort(s["base"]).alias("base"), F.array_sort(F.concat(s["base"], own)).alias("spans"))
+        return F.struct(F.array_sort(s["base"]).alias("base"), F.array_sort(F.concat(s["base"], apart(s["more"], s["base"]))).alias("spans"))
 
     return let(F.struct(short(base).alias("base"), short(more).alias("more")), joined)
 
@@ -154,7 +187,7 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return transition_ratios(labelled_strings(docs, id_col, text_col))
 
 
-def scan_secrets(docs: DataFrame, ratios: list[float] | None = None, odds: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, ratios: list[float] | None = None, odds: float = ODDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans."""
     ratios = ratios or trained(docs, id_col, text_col)
     found = docs.select(F.col(f"`{id_col}`").alias("_id"), secret_spans(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), ratios, odds).alias("_s"))
@@ -166,19 +199,26 @@ def scan_secrets(docs: DataFrame, ratios: list[float] | None = None, odds: float
     return found.select(F.col("_id").alias(id_col), *counts, F.sha2(as_text(F.col("_s.base")), 256).alias("base_sha256"), as_text(F.col("_s.spans")).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, ratios: list[float] | None = None, odds: float = 20.0, id_col: str = "doc_id", text_col: str = "text", mark: str = MARK) -> DataFrame:
+def redact_secrets(docs: DataFrame, ratios: list[float] | None = None, odds: float = ODDS, id_col: str = "doc_id", text_col: str = "text", mark: str = MARK) -> DataFrame:
     """The documents with every secret span replaced by mark; texts without one, and null texts, are as they were."""
     ratios = ratios or trained(docs, id_col, text_col)
     text = F.col(f"`{text_col}`")
 
+    def piece(parts: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / PART)
+        return F.substr(F.array_join(F.slice(parts, (first + 1).cast("int"), (F.floor(end / PART) - first + 1).cast("int")), ""), (start - first * PART + 1).cast("int"), (end - start).cast("int"))
+
     def cut(spans: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            gap = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-            out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        def joined(s: Column) -> Column:
+            def before(span: Column, i: Column) -> Column:
+                at = F.coalesce(F.get(s["ends"], i - 1), F.lit(0).cast("long"))
+                return F.when(span["start"] >= at, F.concat(piece(s["parts"], at, span["start"]), F.lit(mark))).otherwise("")
+
+            rest = piece(s["parts"], F.element_at(s["ends"], -1), F.length(text).cast("long"))
+            return F.concat(F.array_join(F.transform(s["spans"], before), ""), rest)
 
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-        return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.length(text))))
+        parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+        return let(F.struct(spans.alias("spans"), parts.alias("parts"), running(F.transform(spans, lambda x: x["end"]), F.greatest).alias("ends")), joined)
 
     new = let(secret_spans(F.coalesce(text, F.lit("")), ratios, odds), lambda s: F.when(F.size(s["spans"]) > 0, cut(s["spans"])).otherwise(text))
     return docs.withColumn(text_col, F.when(text.isNotNull(), new))
