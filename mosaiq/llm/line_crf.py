@@ -2,11 +2,20 @@
 
 Every line is labelled good or bad from its own features and those of the lines before and after it; the chain's weights
 couple neighbouring labels. Forward-backward gives each line's probability of being good, and a document's score is
-their mean weighted by line length in bytes. For training every line of a labelled document carries the document's
-label; the fit uses at most MAX_DOCS labelled documents (the least by a hash of the id) and all their lines, in chains of
+their mean weighted by line length in bytes.
+
+Labels are of documents, so those of lines are inferred while the model is fitted. At first every line has its document's
+label and only a line's own features count, else lines would learn to be as their neighbours are; then, by turns, the chain's own posterior under a constraint is taken for the lines' labels and the weights are
+fitted to it. The constraint is on the length-weighted share of good lines that is expected of a chain: BAD_SHARE at most
+if its document is bad, GOOD_SHARE at least if it is good. Of all distributions that keep to it the one nearest to the
+posterior is the posterior with a bias on the lines, which is found by bisection. So a bad document's plain lines may be
+good and the transitions learn from unlike neighbours.
+
+The fit uses at most MAX_DOCS labelled documents (the least by a hash of the id) and all their lines, in chains of
 MAX_LINES lines at most. If they hold over MAX_DOCS * MAX_LINES lines together, a share of the chains is taken by a hash
-of id and place: a fixed, documented bound, so the driver holds the same amount whatever the input, and no part of a
-text is left out for where it stands. Scoring takes whole texts.
+of id and place; and of more than 3 * MAX_DOCS chains, which only rows that repeat an id can make, the least by a hash. These
+are fixed, documented bounds, so the driver holds the same amount whatever the input, and no part of a text is left out
+for where it stands. Scoring takes whole texts.
 
 Scores read the text alone: no label, language, source or id.
 
@@ -30,6 +39,8 @@ from .common import id_type, picked, prepare
 
 MAX_DOCS, MAX_LINES = 3000, 200
 THRESHOLD = 0.3
+#: Of the good lines: the most that is expected of a bad document, and the least of a good one.
+BAD_SHARE, GOOD_SHARE = 0.2, 0.9
 FEATURES = ("bytes", "words", "word_length", "upper", "symbols", "digits", "bars", "bangs", "marks", "other_bytes", "ends_sentence", "empty", "repeated", "same_words")
 _NEAR = (3, 4, 6, 7, 12, 13)
 WIDTH = len(FEATURES) + 2 * len(_NEAR) + 1
@@ -138,24 +149,51 @@ def forward_backward(gain: np.ndarray, counts: np.ndarray, step: np.ndarray) ->
     return out, pairs
 
 
-def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 120, ridge: float = 1e-3, rate: float = 0.08) -> Model:
-    """Maximum likelihood with a ridge, by Adam from zero: the same rows give the same model."""
+def constrained(gain: np.ndarray, counts: np.ndarray, step: np.ndarray, weight: np.ndarray, labels: np.ndarray, halvings: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of good at each position, and the expected pairs over all chains, under the distribution nearest to the
+    model's that keeps to the share of good lines of each chain's label. weight: (chain, position), zero past a chain's end."""
+    part = weight / weight.sum(1, keepdims=True)
+    sign, bound = np.where(labels == 1, 1.0, -1.0), np.where(labels == 1, GOOD_SHARE, BAD_SHARE)
+
+    def kept(bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p, pairs = forward_backward(gain + (sign * bias * counts)[:, None] * part, counts, step)
+        return p, pairs, sign * ((p * part).sum(1) - bound) >= 0
+
+    p, pairs, fine = kept(np.zeros(len(counts)))
+    if fine.all():
+        return p, pairs
+    low, high = np.zeros(len(counts)), np.where(fine, 0.0, 64.0)
+    for _ in range(halvings):
+        middle = (low + high) / 2
+        _, _, fine = kept(middle)
+        low, high = np.where(fine, low, middle), np.where(fine, middle, high)
+    return kept(high)[:2]
+
+
+def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 60, turns: int = 4, ridge: float = 1e-3, rate: float = 0.08) -> Model:
+    """Maximum likelihood with a ridge, by Adam from zero: `rounds` with the documents' labels and the lines' own features, then in `turns` turns a third of
+    that each with the labels inferred. The same rows give the same model."""
     mean, spread = x.mean(0), x.std(0) + 1e-6
     mean[-1], spread[-1] = 0, 1
-    z = (x - mean) / spread
-    y, live = np.repeat(labels, counts), np.arange(int(counts.max())) < counts[:, None]
-    want = z.T @ y
-    moves = np.zeros((2, 2))
-    for k in (0, 1):
-        moves[k, k] = (counts - 1)[labels == k].sum()
-    w, step, lines = np.zeros(x.shape[1]), np.zeros((2, 2)), len(x)
-    m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
-    for i in range(1, rounds + 1):
-        p, pairs = forward_backward(_padded(z @ w, counts), counts, step)
-        g = np.r_[(want - z.T @ p[live]) / lines - ridge * w, ((moves - pairs) / lines - ridge * step).ravel()]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        d = rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
-        w, step = w + d[:-4], step + d[-4:].reshape(2, 2)
+    z, lines = (x - mean) / spread, len(x)
+    live = np.arange(int(counts.max())) < counts[:, None]
+    weight = _padded(np.exp(x[:, 0]), counts)  # the first feature is the logarithm of a line's length
+    w, step = np.zeros(x.shape[1]), np.zeros((2, 2))
+    y, moves = np.repeat(labels, counts).astype(np.float64), np.diag([float((counts - 1)[labels == k].sum()) for k in (0, 1)])
+    for turn in range(turns + 1):
+        if turn:
+            p, moves = constrained(_padded(z @ w, counts), counts, step, weight, labels)
+            y = p[live]
+        want, m, v = z.T @ y, np.zeros(len(w) + 4), np.zeros(len(w) + 4)
+        free = np.ones(len(w) + 4)
+        free[len(FEATURES) : -5] = turn > 0
+        free[-4:] = turn > 0
+        for i in range(1, (rounds // 3 if turn else rounds) + 1):
+            p, pairs = forward_backward(_padded(z @ w, counts), counts, step)
+            g = np.r_[(want - z.T @ p[live]) / lines - ridge * w, ((moves - pairs) / lines - ridge * step).ravel()] * free
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            d = rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
+            w, step = w + d[:-4], step + d[-4:].reshape(2, 2)
     w = w / spread
     w[-1] -= float(w[:-1] @ mean[:-1])
     return Model(w, step)
@@ -203,7 +241,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = rows.mapInArrow(run, f"_id {id_type(src)}, _label int, _part int, x array<float>")
     if lines > max_docs * max_lines:
         found = found.where(F.pmod(F.xxhash64("_id", "_part"), F.lit(lines)) < max_docs * max_lines)
-    #: Repeated rows aside there are no more chains than this.
     got = found.orderBy(F.xxhash64("_id", "_part"), "_id", "_label", "_part").limit(3 * max_docs).toPandas().sort_values(["_id", "_label", "_part"], kind="stable")
     if not len(got):
         return blank()
