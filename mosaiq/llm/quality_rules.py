@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and rejection rate are measured on a sample, on the executors; the rules then run in the order of
-rejections per unit of cost, and a document leaves at the first rule that rejects it. The verdict is the conjunction of
-all rules, so it doesn't depend on the order; only the time does.
+Each rule's cost, given what the base has computed by then, and which rules reject a text together are measured on a sample,
+on the executors. The rules then run in the order of rejections per unit of cost among the texts that the rules before
+leave, and a document leaves at the first rule that rejects it. The verdict is the conjunction of all rules, so it doesn't
+depend on the order; only the time does.
 
 Words are maximal runs of characters other than space and U+0009 to U+000D. Defined cases: a null or empty text has no
 words, fails the base and isn't kept; a null id is carried through; repeated rows give repeated results; an empty table
@@ -15,6 +16,7 @@ from __future__ import annotations
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
+from copy import copy
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -45,6 +47,9 @@ class Facts:
         self.data = (text or "").encode("utf-8", "surrogatepass")
         self.chars = len(text or "")
 
+    def base(self) -> tuple[int, int, int, int, int]:
+        return self.n_words, self.word_chars, self.n_symbols, self.n_dup_lines, self.n_repeat_words
+
     @cached_property
     def words(self) -> list[bytes]:
         return self.data.split()  # bytes.split() splits at ASCII white space only
@@ -134,31 +139,54 @@ def base_failed(f: Facts) -> bool:
 
 
 def rule_statistics(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each rule: texts tried, texts rejected and nanoseconds taken, over a random sample of about sample_rows rows.
-    Each rule starts from fresh facts, so that its cost holds what it alone makes necessary."""
+    """Over a random sample of about sample_rows rows. A row for each rule: texts tried, texts rejected and nanoseconds taken;
+    and, with a null rule, a row for each set of rules that reject the same texts: the rules as bits of `rejecting`, and in
+    `rejected` how many texts. Each rule starts from the facts that the base leaves, so its cost is what it adds."""
     prepare(docs.sparkSession)
     n = docs.count()
     sample = docs if n <= sample_rows else docs.sample(fraction=sample_rows / n, seed=seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tried, rejected, ns = 0, [0] * len(rules), [0] * len(rules)
+        tried, ns, sets = 0, [0] * len(rules), Counter()
         for b in batches:
             for text in b.column(1).to_pylist():
-                if not base_failed(Facts(text)):
-                    tried += 1
-                    for k, r in enumerate(rules):
-                        f, t = Facts(text), time.perf_counter_ns()
-                        rejected[k] += bool(r.rejects(f))
-                        ns[k] += time.perf_counter_ns() - t
-        yield pa.RecordBatch.from_pydict({"rule": [r.name for r in rules], "tried": [tried] * len(rules), "rejected": rejected, "ns": ns})
-
-    return picked(sample, id_col, text_col).mapInArrow(run, "rule string, tried long, rejected long, ns long").groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("tried", "rejected", "ns")))
+                f = Facts(text)
+                f.base()
+                if base_failed(f):
+                    continue
+                tried, bits = tried + 1, 0
+                for k, r in enumerate(rules):
+                    g, t = copy(f), time.perf_counter_ns()
+                    bits |= bool(r.rejects(g)) << k
+                    ns[k] += time.perf_counter_ns() - t
+                sets[bits] += 1
+        rows = [(r.name, None, tried, sum(c for bits, c in sets.items() if bits >> k & 1), ns[k]) for k, r in enumerate(rules)]
+        cols = list(zip(*rows, *((None, bits, 0, c, 0) for bits, c in sets.items()), strict=True))
+        kinds = [pa.string()] + [pa.int64()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["rule", "rejecting", "tried", "rejected", "ns"])
+
+    return picked(sample, id_col, text_col).mapInArrow(run, "rule string, rejecting long, tried long, rejected long, ns long").groupBy("rule", "rejecting").agg(*(F.sum(c).alias(c) for c in ("tried", "rejected", "ns")))
 
 
 def ordered(rules: tuple[Rule, ...], statistics: list) -> tuple[Rule, ...]:
-    """By rejections per nanosecond, best first; ties keep the given order. Rules without figures come last."""
-    by = {r["rule"]: (r["rejected"] + 1e-9 * r["tried"]) / max(r["ns"], 1) for r in statistics if r["tried"]}
-    return tuple(sorted(rules, key=lambda r: -by.get(r.name, -1.0)))
+    """Again and again the rule with the most rejections per nanosecond among the texts that are left (of all texts, where the
+    statistics don't say which rules reject together); ties keep the given order, rules without figures come last."""
+    by = {r["rule"]: r for r in statistics if r["rule"] is not None and r["tried"]}
+    sets = {r["rejecting"]: r["rejected"] for r in statistics if r["rule"] is None}
+    left, out = [(k, r) for k, r in enumerate(rules)], []
+
+    def worth(k: int, r: Rule) -> float:
+        if r.name not in by:
+            return -1.0
+        rejected = sum(n for bits, n in sets.items() if bits >> k & 1) if sets else by[r.name]["rejected"]
+        return (rejected + 1e-9 * by[r.name]["tried"]) / max(by[r.name]["ns"], 1)
+
+    while left:
+        best = max(left, key=lambda x: worth(*x))
+        left.remove(best)
+        out.append(best[1])
+        sets = {bits: n for bits, n in sets.items() if not bits >> best[0] & 1} or ({0: 0} if sets else {})
+    return tuple(out)
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, failed_rule string"
