@@ -1,8 +1,13 @@
 """A training corpus from documents: five stages, each one of the operators of mosaiq.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
-writes each stage's result as Parquet in the shared folder and reads it again for the next. Null texts and ids, repeated
-rows and extra columns follow the operators' definitions; rows with a null id are never dropped as copies.
+writes each stage's result as Parquet in the shared folder, reads it again for the next and deletes it when that has been
+written.
+
+Defined cases: a null text is like an empty one to every stage and stays null; a null id is carried, and its row is never
+dropped as a copy; rows that repeat id and text become one; rows of one id with different texts go or stay each for its
+own text; texts are whole, however long; empty tables give empty results, and without labels or benchmark nothing is
+dropped for them; extra columns, whatever their names, stay until the packing stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import table, written
+from mosaiq.llm.common import forget, table, written
 from mosaiq.llm.decontaminate import drop_contaminated
 from mosaiq.llm.line_crf import keep_good, train
 from mosaiq.llm.packing import pack
@@ -44,7 +49,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item, by edit distance."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), least_words=1)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +78,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name)
+            forget(before)
     return docs
