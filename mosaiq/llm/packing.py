@@ -1,18 +1,19 @@
 """Packing documents into token windows by best-fit decreasing.
 
-Tokenizing tasks cut each document into full windows and a rest. The rests (a few numbers each, no tokens) are dealt by
-hash into groups of about group_rows, and each group is packed by itself: longest first, into the open window with the
-least room that suffices, which a segment tree over the remaining capacities finds in log2(window) steps. Padding
-beyond the optimum shrinks with the root of the group's size, so groups of tens of thousands lose well under a percent
-while any number of groups runs side by side. Equal documents spread over groups by id and place, so no group is hot.
+Tokenizing tasks cut each document into full windows and a rest, and write these pieces (a few numbers each, no tokens) as
+a table in the shared folder. A full window is a sequence by itself and isn't moved again. The rests are dealt by hash into
+groups of about group_rows, as many as their number asks for, and each group is packed by itself: longest first, into the
+open window with the least room that suffices, which a segment tree over the remaining capacities finds in log2(window)
+steps. Padding beyond the optimum shrinks with the root of the group's size, so groups of tens of thousands lose well under
+a percent while any number of groups runs side by side. Rests are dealt by id, place and ids, and rows that repeat all of
+these by their count so far in the task, so no group is hot.
 
-Token ids are those of the tokenizer for the whole text, with the end id appended. The text is split by the
-tokenizer's own pre-token pattern; byte-level BPE treats each pre-token by itself, so the ids of a pre-token are kept
-and reused. Texts that hold an added token's string are encoded directly.
+Token ids are those of the tokenizer for the whole text, with the end id appended. Byte-level BPE treats each pre-token by
+itself, so the ids of a pre-token are kept and reused. Texts that hold an added token's string are encoded directly.
 
 Defined cases: a null or empty text is the end id alone; null ids are carried; repeated rows are packed once each; an
 empty table gives an empty result; other columns are ignored. A document of any length is cut, never dropped. A task
-holds the rests of its groups.
+holds the rests of its groups, and no full window.
 """
 
 from __future__ import annotations
@@ -25,21 +26,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, picked, prepare
+from .common import id_type, picked, prepare, written
 
 WINDOW, END_ID = 2048, 1
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this family.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Where a single space has other characters than white space on both sides; the space goes with what follows.
 INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
-#: Chunks kept a worker, and the longest that is kept.
-MEMO_ENTRIES, MEMO_CHARS = 900_000, 48
-#: Marks that are a pre-token by themselves after a word of letters.
-MARKS = ".,;:!?"
+#: Units kept a worker, the longest that is kept, and bytes of text encoded at a time.
+MEMO_ENTRIES, MEMO_CHARS, BLOCK_BYTES = 900_000, 48, 8 << 20
+#: Rows that a task remembers to tell repeated ones apart.
+SEEN_ROWS = 200_000
+#: Stands before a unit that has no space before it.
+CUT = "\x01"
+#: Patterns and replacements that cut a text into units: marks after a letter or digit (but for the apostrophe, which begins
+#: other pre-tokens), and line ends before other characters.
+AFTER_WORD = (r"([\p{L}\p{N}])([!-&(-/:-@\[-`{-~])", rf"\1 {CUT}\2")
+LINE_END = (r"(\n+)([^\s])", rf" {CUT}\1 {CUT}\2")
+#: Stands for the ids of a unit that isn't looked up.
+LOOSE = bytes(4)
 
 
 def default_tokenizer() -> str:
@@ -49,12 +59,15 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Little-endian 32-bit ids of a text.
+    """Little-endian 32-bit ids of texts.
 
-    A space between two other characters always starts a pre-token, so a text is first cut there (chunks), and the ids of
-    chunks are kept. A word of letters with its space is one pre-token, as is a mark after it; other chunks are split by
-    the pattern. A chunk that touches other white space isn't kept: texts that hold one are cut by a pattern that leaves
-    such places whole."""
+    A space between two other characters always starts a pre-token, so does a mark after a letter or digit, and line ends
+    are pre-tokens between other characters. Texts are cut at these places into units, mostly a pre-token each, and each unit
+    that differs is looked up once a call. Ids of units are kept from call to call in two generations, of which the older
+    one goes when the younger is full. A unit that touches other white space isn't looked up: texts that hold one are cut
+    by a pattern that leaves such places whole.
+
+    A unit is kept as it is if a space stands before it, else with CUT before it."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -62,22 +75,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes | None] = {}
-        self.line, *marks = self.direct(["\n", *MARKS])
-        self.marks = dict(zip(MARKS, marks, strict=True))
+        self.line = self.direct(["\n"])[0]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters with a space before them, many to a call: a line end between them is one token."""
-        ids = np.frombuffer(self.direct(["\n".join([" " + w for w in words])])[0], "<u4")
+        """Ids of words, with a space before them or not, many to a call: a line end between them is one token."""
+        ids = np.frombuffer(self.direct(["\n".join(words)])[0], "<u4")
         if len(self.line) == 4:
             ends = np.flatnonzero(ids == int.from_bytes(self.line, "little"))
             if len(ends) == len(words) - 1:
                 data, cut = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
                 return [data[s + 4 : e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
-        return self.direct([" " + w for w in words])
+        return self.direct(words)
 
     def _split(self, texts: list[str]) -> list[bytes]:
         """Ids of texts by their pre-tokens."""
@@ -86,48 +99,85 @@ class Encoder:
         ids = dict(zip(new, self.direct(new), strict=True))
         return [b"".join(map(ids.__getitem__, w)) for w in words]
 
-    def _learn(self, new: list[str]) -> None:
-        chunks, whole, marked, other = self.chunks, [], [], []
-        for c in new:
-            if c.isalpha():
-                whole.append(c)
-            elif not c or len(c.strip()) != len(c):
-                chunks[c] = None
-            elif c[-1] in self.marks and c[:-1].isalpha():
-                marked.append(c)
+    def _learn(self, units: list[str]) -> None:
+        words, shown, other = [], [], []
+        for u in units:
+            text = u[1:] if u[:1] == CUT else u
+            if text.isalpha():
+                words.append(u)
+                shown.append(text if u[0] == CUT else " " + u)
+            elif u == CUT:
+                self.young[u] = b""
+            elif u[:1] == CUT and not text.strip("\n"):  # of line ends before other characters the last stands alone
+                self.young[u] = b"".join(self.direct([text[1:]])) + self.line
+            elif not text or len(text.strip()) != len(text):
+                self.young[u] = LOOSE
             else:
-                other.append(c)
-        whole = list(set(whole).union(c[:-1] for c in marked).difference(chunks))
-        for lo in range(0, len(whole), 1024):
-            part = whole[lo : lo + 1024]
-            chunks.update(zip(part, self._words(part), strict=True))
-        for c in marked:
-            chunks[c] = chunks[c[:-1]] + self.marks[c[-1]]
+                other.append(u)
+        for lo in range(0, len(words), 1024):
+            self.young.update(zip(words[lo : lo + 1024], self._words(shown[lo : lo + 1024]), strict=True))
         for lo in range(0, len(other), 4096):
             part = other[lo : lo + 4096]
-            chunks.update(zip(part, self._split([" " + c for c in part]), strict=True))
+            self.young.update(zip(part, self._split([u[1:] if u[0] == CUT else " " + u for u in part]), strict=True))
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of units; LOOSE if one isn't looked up."""
+        if len(self.young) > MEMO_ENTRIES // 2:
+            self.old, self.young = self.young, {}
+        out = list(map(self.young.get, units))
+        missing = [k for k, x in enumerate(out) if x is None]
+        if missing:
+            new = [units[k] for k in missing]
+            got = list(map(self.old.get, new))
+            self._learn([u for u, x in zip(new, got, strict=True) if x is None])
+            self.young.update((u, x) for u, x in zip(new, got, strict=True) if x is not None)
+            for k, x in zip(missing, map(self.young.__getitem__, new), strict=True):
+                out[k] = x
+            for u in new:
+                if len(u) > MEMO_CHARS:
+                    self.young.pop(u, None)
+        return out
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's end."""
+        cut = pc.replace_substring_regex(pc.replace_substring_regex(texts, *AFTER_WORD), *LINE_END)
+        lists = pc.split_pattern(cut, " ")
+        cuts = lists.offsets.to_numpy().astype(np.int64)
+        cuts, words = cuts - cuts[0], lists.flatten()
+        coded = words.dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        pool = self._units(coded.dictionary.to_pylist())
+        first = len(pool)
+        heads = words.take(pa.array(cuts[:-1])).to_pylist()
+        pool += self._units([CUT + w for w in heads])
+        pool.append(b"")
+        at[cuts[:-1]] = first + np.arange(len(texts))
+        loose = np.zeros(len(pool), bool)
+        loose[[k for k, x in enumerate(pool) if x is LOOSE]] = True
+        slow = np.array([len(w.strip()) != len(w) for w in heads], bool)
+        slow[np.searchsorted(cuts, np.flatnonzero(loose[at]), "right") - 1] = True
+        for a in (CUT, *self.added):
+            slow |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        at[np.repeat(slow, cuts[1:] - cuts[:-1])] = len(pool) - 1
+        for k in np.flatnonzero(slow).tolist():
+            at[cuts[k]] = first + k
+            pool[first + k] = self._whole(texts[k].as_py())
+        size = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
+        data, place = np.frombuffer(b"".join(pool), "<u4"), np.cumsum(size) - size
+        n = size[at]
+        end = np.cumsum(n)
+        return data[np.repeat(place[at] - end + n, n) + np.arange(end[-1] if len(end) else 0)], end[cuts[1:] - 1]
+
+    def _whole(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return self.direct([text])[0]
+        return b"".join(self._split(INNER_SPACE.split(text)))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        chunks = self.chunks
-        if len(chunks) > MEMO_ENTRIES:
-            chunks.clear()
-        split = [None if any(a in t for a in self.added) else t.split(" ") for t in texts]
-        heads = self._split([w[0] if w else "" for w in split])
-        new = list(set().union(*(w[1:] for w in split if w)).difference(chunks))
-        self._learn(new)
-        for t, head, words in zip(texts, heads, split, strict=True):
-            if words is None:
-                yield self.direct([t])[0]
-                continue
-            try:
-                if words[0][-1:].isspace():
-                    raise TypeError
-                yield head + b"".join(map(chunks.__getitem__, words[1:]))
-            except TypeError:  # a chunk that isn't kept
-                yield b"".join(self._split(INNER_SPACE.split(t)))
-        for c in new:
-            if len(c) > MEMO_CHARS:
-                del chunks[c]
+        if texts:
+            ids, ends = self.flat(pa.array(texts, pa.string()))
+            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                yield ids[lo:hi].tobytes()
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -142,37 +192,45 @@ def encoder(definition: str) -> Encoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Full windows of each document, then its rest: _id, start, length, ids_crc32, doc_tokens."""
+    """Full windows of each document, then its rest: _id, start, length, ids_crc32, doc_tokens, and _copy, which counts the
+    rows of the task (the last SEEN_ROWS of them, at least) that are the same in id, place and ids."""
     spark = docs.sparkSession
     prepare(spark)
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # a vocabulary file: a few MB whatever the input
-    src, last = picked(docs, id_col, text_col), np.array([end_id], "<u4").tobytes()
+    src = picked(docs, id_col, text_col)
+
+    def block(encode: Encoder, ids: pa.Array, texts: pa.Array, seen: dict) -> pa.RecordBatch:
+        tokens, ends = encode.flat(texts)
+        tokens = np.insert(tokens, ends, end_id).astype("<u4", copy=False)
+        ends = ends + np.arange(1, len(ends) + 1)
+        total = np.diff(ends, prepend=0)
+        pieces = -(-total // window)
+        which = np.repeat(np.arange(len(total)), pieces)
+        start = window * (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        length = np.minimum(window, total[which] - start)
+        lo = (ends - total)[which] + start
+        data = memoryview(tokens.tobytes())
+        crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(lo.tolist(), length.tolist(), strict=True)]
+        ids, copy = ids.take(pa.array(which)), []
+        if len(seen) > SEEN_ROWS:
+            seen.clear()
+        for key in zip(ids.to_pylist(), start.tolist(), crc, strict=True):
+            copy.append(seen.get(key, 0))
+            seen[key] = copy[-1] + 1
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (start, length, crc, total[which], copy))], names=["_id", "start", "length", "ids_crc32", "doc_tokens", "_copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value)
+        encode, seen = encoder(shared.value), {}
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            which, start, length, crc, total, lo = [], [], [], [], [], 0
-            while lo < len(texts):
-                hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) < 1 << 20):
-                    chars += len(texts[hi])
-                    hi += 1
-                for k, ids in enumerate(encode(texts[lo:hi]), lo):
-                    ids += last
-                    n = len(ids) // 4
-                    for s in range(0, n, window):
-                        e = min(n, s + window)
-                        which.append(k)
-                        start.append(s)
-                        length.append(e - s)
-                        crc.append(zlib.crc32(ids[4 * s : 4 * e]))
-                        total.append(n)
-                lo = hi
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))], names=["_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return src.mapInArrow(run, f"_id {id_type(src)}, start long, length long, ids_crc32 long, doc_tokens long")
+            if b.num_rows:
+                texts = pc.fill_null(b.column(1), "")
+                part = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // BLOCK_BYTES
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield block(encode, b.column(0).slice(lo, hi - lo), texts.slice(lo, hi - lo), seen)
+
+    return src.mapInArrow(run, f"_id {id_type(src)}, start long, length long, ids_crc32 long, doc_tokens long, _copy long")
 
 
 class Windows:
@@ -224,22 +282,27 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> tuple[list[
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, group_rows: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    groups = max(1, -(-docs.count() // group_rows))
-    pieces = token_pieces(docs, tokenizer, window, end_id, id_col, text_col)
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", "start", "ids_crc32"), F.lit(groups)).cast("long")).repartition(groups, "_group")
+    """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Sequences that are one full
+    window have odd ids."""
+    pieces = written(token_pieces(docs, tokenizer, window, end_id, id_col, text_col), "pieces")
+    full = pieces.where(F.col("length") == window).drop("_copy")
+    full = full.withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long"))
+    rests = pieces.where(F.col("length") < window)
+    groups = max(1, -(-rests.count() // group_rows))
+    dealt = rests.withColumn("_group", F.pmod(F.xxhash64("_id", "start", "ids_crc32", "_copy"), F.lit(groups)).cast("long")).drop("_copy").repartition(groups, "_group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got).sort_by([("_group", "ascending"), ("length", "descending"), ("_id", "ascending"), ("start", "ascending")])
+        t = pa.Table.from_batches(got).sort_by([("_group", "ascending"), ("length", "descending"), ("_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         group = t.column("_group").to_numpy()
         edges = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)]
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             part = t.slice(lo, hi - lo)
             where, offset = best_fit_decreasing(part.column("length").to_pylist(), window)
-            part = part.drop_columns(["_group"]).append_column("sequence_id", pa.array(np.array(where, np.int64) + (int(group[lo]) << 32))).append_column("offset", pa.array(offset, pa.int64()))
+            part = part.drop_columns(["_group"]).append_column("sequence_id", pa.array(2 * (np.array(where, np.int64) + (int(group[lo]) << 32)))).append_column("offset", pa.array(offset, pa.int64()))
             yield from part.combine_chunks().to_batches()
 
-    return dealt.mapInArrow(run, f"_id {id_type(pieces)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("_id", id_col)
+    packed = dealt.mapInArrow(run, f"_id {id_type(pieces)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return full.union(packed).withColumnRenamed("_id", id_col)
