@@ -68,6 +68,31 @@ def test_dedup_of_rows_that_share_an_id(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_run_over_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    labels = spark.createDataFrame([(3, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "a passage that no document holds at all"), (2, None)], "item_id long, text string")
+    for name, docs, rest in (("odd", odd, (labels, benchmark)), ("empty", empty, (labels, benchmark)), ("bare", odd, (labels.limit(0), benchmark.limit(0)))):
+        sf = f"{tmp_path}/{name}"
+        for table, df in zip(("documents", "labels", "benchmark"), (docs, *rest), strict=True):
+            df.write.parquet(f"{sf}/{table}.parquet")
+        out = cp.run(spark, sf).collect()
+        if name == "bare":  # nothing is learned, so every score is 0.5 and only copies go
+            assert {r["doc_id"] for r in out} == {None, 0, 3, 4, 5, 8, 9, 10} or {r["doc_id"] for r in out} == {None, 0, 3, 4, 5, 8, 9}
+        assert (not out) == (name == "empty") and all(r["length"] > 0 for r in out)
+
+
+def test_stages_of_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    benchmark = spark.createDataFrame([(1, "aa bb cc dd"), (2, "one two three four five six seven")], "item_id long, text string")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    gone = {"benchmark_decontamination": 4}  # the four rows of aa bb cc dd
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, odd, str(tmp_path))
+        assert got.columns == odd.columns and stage(spark, empty, str(tmp_path)).count() == 0
+        if name != "simhash_dedup":
+            assert got.count() == odd.count() - gone.get(name, 0)
+
+
 def test_no_import_guard_or_local_checkpoint():
     for path in [Path(cp.__file__), *Path(mosaiq.llm.__path__[0]).glob("*.py")]:
         assert not re.search(r"except (Import|ModuleNotFound)Error|localCheckpoint", path.read_text())
