@@ -64,6 +64,11 @@ def json_number(v: Column) -> Column:
     return F.when(json_class(v) == "number", F.try_variant_get(v, "$", "double"))
 
 
+def json_integer(v: Column) -> Column:
+    """The whole number a variant holds, exactly; NULL for anything else."""
+    return F.when(F.schema_of_variant(v).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))"), F.try_variant_get(v, "$", "decimal(38,0)"))
+
+
 def json_string(v: Column) -> Column:
     return F.when(json_class(v) == "string", F.try_variant_get(v, "$", "string"))
 
@@ -73,6 +78,4 @@ def json_elements(v: Column) -> Column:
     return F.when(json_class(v) == "array", F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.to_json(x)))
 
 
-
-
-__all__ = ["DISTANCES", "ascii_fold", "canonical_json", "cosine_distance", "json_at", "json_class", "json_elements", "json_number", "json_string", "l2_distance", "vector_literal"]
+__all__ = ["DISTANCES", "ascii_fold", "canonical_json", "cosine_distance", "json_at", "json_class", "json_elements", "json_integer", "json_number", "json_string", "l2_distance", "vector_literal"]

@@ -45,7 +45,7 @@ def blob_to_hex(c: Column) -> Column:
 
 def integer_divide(a: Column, b: Column) -> Column:
     """Toward zero, as set divide does."""
-    return ((a - a % b) / b).cast("bigint")
+    return F.call_function("div", a, b).cast("bigint")
 
 
 def array_length(c: Column) -> Column:

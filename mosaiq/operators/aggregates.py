@@ -70,9 +70,9 @@ class Aggregation:
         return df.agg(*(self.aggregate_column(model, "_count", k).alias(k) for k in ("_all", *model.fields) if select.get(k) is True))
 
     def exist(self: Reader, model_name: str, **args: Any) -> DataFrame:
-        """One row: exists. Reading stops at the first row found."""
-        model, args = self.checked(model_name, args, ("where",))
-        return self.filtered(self.scan(model), model, args.get("where")).limit(1).agg((F.count(F.lit(1)) > 0).alias("exists"))
+        """One row: exists, of the rows that count would count. Reading stops at the first row found."""
+        model, args = self.checked(model_name, args, ("where", "order_by", "cursor", "take", "skip"))
+        return self.aggregate_input(model, args).limit(1).agg((F.count(F.lit(1)) > 0).alias("exists"))
 
     def aggregate(self: Reader, model_name: str, **args: Any) -> DataFrame:
         """One row with a struct for each aggregate asked for."""

@@ -60,7 +60,7 @@ class Ordering:
 
     def _order_key(self: Reader, df: DataFrame, model: Model, name: str, spec: Any) -> tuple[DataFrame, Key]:
         if name in model.relations:
-            return self._relation_order(df, model, name, spec, 1, list(model.relations[name].fields) or None)
+            return self._relation_order(df, model, name, spec, 1)
         if name not in model.fields:
             raise ValidationError(f"{model.name} has no field or relation {name}")
         f = model.fields[name]
@@ -82,7 +82,7 @@ class Ordering:
             raise ValidationError(f"{name} has {f.dimension} dimensions, not {len(d['to'])}")
         return DISTANCES[d.get("metric", "l2")](F.col(f"`{name}`").cast("array<double>"), vector_literal(d["to"]))
 
-    def _relation_order(self: Reader, df: DataFrame, model: Model, name: str, spec: Any, hops: int, _: Any) -> tuple[DataFrame, Key]:
+    def _relation_order(self: Reader, df: DataFrame, model: Model, name: str, spec: Any, hops: int) -> tuple[DataFrame, Key]:
         """Joins the related value as a fresh column: a field at the end of a chain of to-one relations, or a count."""
         if not isinstance(spec, dict) or len(spec) != 1:
             raise ValidationError(f"order by {name} takes one field")
@@ -97,7 +97,7 @@ class Ordering:
         child = self.registry[rel.target]
         cdf = self.scan(child)
         if inner in child.relations:
-            cdf, key = self._relation_order(cdf, child, inner, order, hops + 1, None)
+            cdf, key = self._relation_order(cdf, child, inner, order, hops + 1)
         else:
             cdf, key = self._order_key(cdf, child, inner, order)
         pairs = self.registry.keys(model, name)
@@ -106,14 +106,22 @@ class Ordering:
         on = all_of([F.col(f"`{p}`") == F.col(n) for (p, _), n in zip(pairs, names, strict=True)])
         return df.join(cdf, on, "left").drop(*names), replace(key, column=out, field=None)
 
-    def counted(self: Reader, df: DataFrame, model: Model, name: str, where: dict, out: str) -> DataFrame:
-        """df with the number of related rows (those that satisfy where) as the column out: zero where there are none."""
+    def counted(self: Reader, df: DataFrame, model: Model, name: str, where: dict, out: str, narrow: bool = False) -> DataFrame:
+        """df with the number of related rows (those that satisfy where) as the column out: zero where there are none. narrow:
+        df has few of the model's rows, so that only their related rows are looked at."""
         child = self.registry[model.relations[name].target]
         cdf, on, names = self.with_parent_keys(self.filtered(self.scan(child), child, where), model, name)
+        cdf = self.of_parents(cdf, df, on, names) if narrow else cdf
         counts = cdf.groupBy(*names).agg(F.count(F.lit(1)).alias(out))
         match = all_of([F.col(f"`{a}`") == F.col(n) for a, n in zip(on, names, strict=True)])
         return df.join(counts, match, "left").drop(*names).withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("long")))
 
+    def of_parents(self: Reader, cdf: DataFrame, parents: DataFrame, on: list[str], names: list[str]) -> DataFrame:
+        """The rows of with_parent_keys that belong to the parents."""
+        wanted = [self.fresh("w") for _ in on]
+        keys = parents.select(*(F.col(f"`{a}`").alias(w) for a, w in zip(on, wanted, strict=True))).distinct()
+        return cdf.join(keys, all_of([F.col(n) == F.col(w) for n, w in zip(names, wanted, strict=True)]), "left_semi")
+
     def total_order(self: Reader, model: Model, keys: list[Key], extra: tuple[str, ...] = (), needed: bool = True) -> list[Key]:
         """keys, then the primary key and the cursor's fields, ascending."""
         if needed and not model.key and not extra:
@@ -159,6 +167,9 @@ class Ordering:
             if backward:
                 df = df.withColumn(rn, -F.col(rn))
             return df, shown, False
+        if skip and take is None and model.key:
+            last = df.orderBy(*(k.sort() for k in keys)).select(F.struct(*(F.col(f"`{k.column}`") for k in keys)).alias("c")).offset(skip - 1).limit(1).scalar()
+            return df.where(F.coalesce(self._past(keys, last), F.lit(False))), shown, False
         if keys and (take is not None or skip):
             df = df.orderBy(*(k.sort() for k in keys))
         if skip:
@@ -183,6 +194,10 @@ class Ordering:
             first = at[keys[0].column]
             # the plain comparison on the leading key lets the scan skip row groups
             return ((lead <= first) & (here <= at)) if keys[0].desc else ((lead >= first) & (here >= at))
+        return self._past(keys, at) | (at.isNotNull() & all_of([F.col(f"`{k.column}`").eqNullSafe(at[k.column]) for k in keys]))
+
+    def _past(self: Reader, keys: list[Key], at: Column) -> Column:
+        """True for the rows after the one whose keys `at` has, in the order of the keys; false where there is no such row."""
         equal: list[Column] = []
         ways: list[Column] = []
         for k in keys:
@@ -191,4 +206,4 @@ class Ordering:
             after = F.when(v.isNull(), c.isNotNull() if k.nulls_first else F.lit(False)).otherwise(F.coalesce(past, F.lit(False)) | (F.lit(not k.nulls_first) & c.isNull()))
             ways.append(all_of([*equal, after]))
             equal.append(c.eqNullSafe(v))
-        return at.isNotNull() & any_of([*ways, all_of(equal)])
+        return at.isNotNull() & any_of(ways)

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedError, ValidationError
-from ..functions import ascii_fold, canonical_json, json_at, json_elements, json_number, json_string
+from ..functions import ascii_fold, canonical_json, json_at, json_elements, json_integer, json_number, json_string
 from ..schema import Field, Model
 
 #: Camel-case spellings of operators and arguments that are also accepted.
@@ -53,6 +53,10 @@ _COMPARE: dict[str, Callable[[Any, Any], Column]] = {"lt": lambda a, b: a < b, "
 _TEXT: dict[str, Callable[[Column, Any], Column]] = {"contains": lambda a, b: a.contains(b), "starts_with": lambda a, b: a.startswith(b), "ends_with": lambda a, b: a.endswith(b)}
 
 
+#: Values of an `in` from which on it is a join with a table of them.
+LONG_LIST = 1000
+
+
 def allowed_operators(f: Field) -> tuple[str, ...]:
     if f.array:
         return _LIST_OPS
@@ -239,7 +243,10 @@ def _json_operator(c: Column, v: Column, op: str, x: Any, path: str | None, inse
     if op in _COMPARE:
         if isinstance(x, bool) or not isinstance(x, (int, float, str, Decimal)):
             raise ValidationError(f"{op} takes a number or a string")
-        return F.coalesce(_COMPARE[op](json_string(v), F.lit(x)) if isinstance(x, str) else _COMPARE[op](json_number(v), F.lit(float(x))), F.lit(False))
+        if isinstance(x, str):
+            return F.coalesce(_COMPARE[op](json_string(v), F.lit(x)), F.lit(False))
+        exact = [_COMPARE[op](json_integer(v), F.lit(Decimal(x)).cast("decimal(38,0)"))] if isinstance(x, int) and abs(x) < 10**38 else []
+        return F.coalesce(*exact, _COMPARE[op](json_number(v), F.lit(float(x))), F.lit(False))
     if op.startswith("string_"):
         return _TEXT[op.removeprefix("string_")](fold(F.try_variant_get(v, "$", "string")), fold(F.lit(x)))
     elements = json_elements(v)

@@ -1,7 +1,8 @@
 """select, include, omit, _count, distances and nested relations.
 
 A to-one relation is a left join of a struct; a to-many relation is windowed for each parent, given its own relations,
-then collected once by parent key, so each level of nesting costs one shuffle on the parent's key.
+then collected once by parent key, so each level of nesting costs one shuffle on the parent's key. Where the parents are
+narrowed (by a condition or a window), a semi join first keeps only their children.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .predicates import all_of, spelled
 if TYPE_CHECKING:
     from ..plans.read import Reader
 
+NARROWING = ("where", "take", "skip", "cursor", "distinct")
 NODE_ARGS = ("where", "order_by", "take", "skip", "cursor", "distinct", "select", "include", "omit")
 
 
@@ -55,14 +57,17 @@ class Projection:
             raise ValidationError("the model has a field of that name")
         return fields, relations, distances, asked.get("_count")
 
-    def shaped(self: Reader, df: DataFrame, model: Model, args: dict) -> tuple[DataFrame, list[Column]]:
-        """df with the related values joined on, and the output columns."""
+    def shaped(self: Reader, df: DataFrame, model: Model, args: dict, narrow: bool = False) -> tuple[DataFrame, list[Column]]:
+        """df with the related values joined on, and the output columns. narrow: df has only some of the model's rows; the
+        arguments may say so too."""
+        narrow = narrow or any(args.get(k) for k in NARROWING)
+        parents = df
         fields, relations, distances, count = self.wanted(model, args)
         out = [F.col(f"`{k}`") for k in fields]
         for name, sub in relations.items():
             if unknown := set(sub) - set(NODE_ARGS):
                 raise ValidationError(f"{name} takes no {', '.join(sorted(unknown))}")
-            df, c = self._one(df, model, name, sub) if model.relations[name].kind == "one" else self._many(df, model, name, sub)
+            df, c = self._one(df, model, name, sub, narrow) if model.relations[name].kind == "one" else self._many(df, model, name, sub, parents if narrow else None)
             out.append(c.alias(name))
         for name, d in distances.items():
             if model.fields[name].nullable:
@@ -77,14 +82,19 @@ class Projection:
             for name, spec in asked.items():
                 if spec:
                     col = self.fresh("n")
-                    df = self.counted(df, model, name, spec.get("where") or {} if isinstance(spec, dict) else {}, col)
+                    df = self.counted(df, model, name, spec.get("where") or {} if isinstance(spec, dict) else {}, col, narrow)
                     columns.append(F.col(col).alias(name))
             out.append(F.struct(*columns).alias("_count"))
         return df, out or [F.lit(1).alias("_row")]
 
-    def _one(self: Reader, df: DataFrame, model: Model, name: str, args: dict) -> tuple[DataFrame, Column]:
+    def _one(self: Reader, df: DataFrame, model: Model, name: str, args: dict, narrow: bool) -> tuple[DataFrame, Column]:
         child = self.registry[model.relations[name].target]
-        cdf, out = self.shaped(self.filtered(self.scan(child), child, args.get("where")), child, args)
+        cdf = self.filtered(self.scan(child), child, args.get("where"))
+        deeper = any(child.relations[k].kind != "one" for k in {**(args.get("include") or {}), **(args.get("select") or {})} if k in child.relations)
+        if narrow and deeper:  # the related record's own children are then looked up for these records alone
+            linked, on, names = self.with_parent_keys(cdf, model, name)
+            cdf = self.of_parents(linked, df, on, names).drop(*names)
+        cdf, out = self.shaped(cdf, child, args, narrow and deeper)
         pairs, value = self.registry.keys(model, name), self.fresh("r")
         names = [self.fresh("k") for _ in pairs]
         cdf = cdf.select(*(F.col(f"`{c}`").alias(n) for (_, c), n in zip(pairs, names, strict=True)), *([F.col(f"`{k}`").alias(f"__t_{k}") for k in child.key] if not model.relations[name].holds else []), F.struct(*out).alias(value))
@@ -94,13 +104,14 @@ class Projection:
         on = all_of([F.col(f"`{p}`") == F.col(n) for (p, _), n in zip(pairs, names, strict=True)])
         return df.join(cdf, on, "left").drop(*names), F.col(value)
 
-    def _many(self: Reader, df: DataFrame, model: Model, name: str, args: dict) -> tuple[DataFrame, Column]:
+    def _many(self: Reader, df: DataFrame, model: Model, name: str, args: dict, parents: DataFrame | None) -> tuple[DataFrame, Column]:
         child = self.registry[model.relations[name].target]
         cdf = self.filtered(self.scan(child), child, args.get("where"))
         cdf, on, names = self.with_parent_keys(cdf, model, name)
+        cdf = self.of_parents(cdf, parents, on, names) if parents is not None else cdf
         cdf, keys = self.order_keys(cdf, child, args.get("order_by"))
         cdf, _, _ = self.windowed(cdf, child, keys, args, parents=names)
-        cdf, out = self.shaped(cdf, child, args)
+        cdf, out = self.shaped(cdf, child, args, parents is not None)
         value = self.fresh("r")
         rows = F.array_sort(F.collect_list(F.struct(F.col("__rn").alias("rn"), F.struct(*out).alias("v"))))  # by rn, which is unique
         cdf = cdf.groupBy(*names).agg(F.transform(rows, lambda x: x["v"]).alias(value))

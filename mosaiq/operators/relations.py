@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..schema import Model
-from .predicates import Operands, all_of, any_of, scalar_filter, spelled
+from .predicates import LONG_LIST, Operands, all_of, any_of, scalar_filter, spelled
 
 if TYPE_CHECKING:
     from ..plans.read import Reader
@@ -53,11 +53,22 @@ class Filters:
             elif key in model.relations:
                 joins += self.relation_terms(model, key, value)
             else:
+                df, value = self.listed(df, model, key, value)
                 df = df.where(self.scalar(model, key, value))
         for term in joins:
             df = term.joined(df) if isinstance(term, Exists) else df.where(term)
         return df
 
+    def listed(self: Reader, df: DataFrame, model: Model, key: str, value: Any) -> tuple[DataFrame, Any]:
+        """A long list of `in` as a semi join with a table of its values; what else the condition asks remains."""
+        f = model.fields.get(key)
+        if f is None or not isinstance(value, dict) or f.array or f.kind == "json" or "mode" in value or not isinstance(value.get("in"), (list, tuple, set)) or len(value["in"]) < LONG_LIST:
+            return df, value
+        name = self.fresh("l")
+        wanted = df.sparkSession.createDataFrame([(x,) for x in value["in"] if x is not None], "v " + ("string" if f.kind == "decimal" else f.spark_type().simpleString()))
+        wanted = wanted.select(F.col("v").cast(f.spark_type()).alias(name)).distinct()
+        return df.join(wanted, F.col(f"`{key}`") == F.col(name), "left_semi"), {k: v for k, v in value.items() if k != "in"}
+
     def scalar(self: Reader, model: Model, key: str, value: Any) -> Column:
         if key not in model.fields:
             raise ValidationError(f"{model.name} has no field or relation {key}")

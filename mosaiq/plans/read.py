@@ -97,7 +97,7 @@ class Reader(Filters, Ordering, Projection, Aggregation):
     def find_unique(self, model_name: str, **args: Any) -> DataFrame:
         model, args = self.checked(model_name, args, ("where", "select", "include", "omit"))
         df = self.unique_filtered(self.scan(model), model, args.get("where") or {}).limit(1)
-        df, out = self.shaped(df, model, args)
+        df, out = self.shaped(df, model, args, narrow=True)
         return df.select(*out)
 
     def find_first_or_throw(self, model_name: str, **args: Any) -> DataFrame:

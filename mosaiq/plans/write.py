@@ -8,6 +8,7 @@ that add (connect, create, create_many). Every unique key, foreign key and refer
 
 from __future__ import annotations
 
+import math
 import os
 import time
 import uuid
@@ -24,6 +25,7 @@ from ..schema import NUMERIC, Field, Model, Registry, Relation
 from ..sources.store import Transaction
 from .read import Reader
 
+#: Fixed value: the kinds of nested writes, in the order in which they are done.
 ORDER = ("disconnect", "delete", "update", "upsert", "connect_or_create", "set", "update_many", "delete_many", "connect", "create", "create_many")
 UNDER_CREATE = ("create", "create_many", "connect", "connect_or_create", "upsert")
 _B32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
@@ -46,6 +48,20 @@ def generated(kind: str) -> Any:
     return "c" + uuid.uuid4().hex[:24]
 
 
+def generated_column(kind: str) -> Column:
+    """As generated, anew for each row."""
+    if kind in ("now", "updated_at"):
+        return F.lit(generated(kind))
+    digits = F.replace(F.uuid(), F.lit("-"), F.lit(""))
+    if kind == "uuid":
+        return F.uuid()
+    if kind == "ulid":  # the time, then 64 random bits, whose digits are among those of the encoding
+        return F.concat(F.lit(generated("ulid")[:10]), F.upper(F.substring(digits, 17, 16)))
+    if kind == "nanoid":
+        return F.translate(F.substring(F.base64(F.unhex(digits)), 1, 21), "+/", "_-")
+    return F.concat(F.lit("c"), F.substring(digits, 1, 24))
+
+
 class Writer(Reader):
     def __init__(self, registry: Registry, tx: Transaction, omit: dict | None = None):
         super().__init__(registry, tx, omit)
@@ -69,16 +85,27 @@ class Writer(Reader):
     def _change(self, model: Model, keys: DataFrame, assign: dict[str, Column] | None) -> None:
         """Rows with these primary keys get the assignments, or go; only the files that hold them are written anew."""
         on = all_of([F.col(f"`{k}`") == F.col(f"__w{i}") for i, k in enumerate(model.key)])
-        held = self.to_fields(self.tx.with_files(model.table), model)
-        names = {r["__file"] for r in held.join(keys, on, "left_semi").select("__file").distinct().collect()}
+        names = self._files(self.to_fields(self.tx.with_files(model.table), model), keys, on)
         if not names:
             return
         old = self.to_fields(self.tx.files_of(model.table, names), model)
-        new = old.join(keys, on, "left_anti")
-        if assign is not None:
-            new = new.unionByName(old.join(keys, on, "left_semi").withColumns(assign).select(*old.columns))
+        if assign is None:
+            new = old.join(keys, on, "left_anti")
+        else:
+            hit = F.col("__hit").isNotNull()
+            new = old.join(keys.withColumn("__hit", F.lit(True)), on, "left").select(*(F.when(hit, assign[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in assign else F.col(f"`{c}`") for c in old.columns))
         self.tx.replace_files(model.table, names, self.to_columns(new, model))
 
+    def _files(self, held: DataFrame, keys: DataFrame, on: Column) -> set[str]:
+        """Names of the files whose rows (of with_files) keys has: as many as are to be written anew."""
+        return {r["__file"] for r in held.join(keys, on, "left_semi").select("__file").distinct().collect()}
+
+    def _drop_links(self, table: str, gone: DataFrame, on: Column) -> None:
+        """Rows of a junction that gone has go; only the files that hold them are written anew."""
+        names = self._files(self.tx.with_files(table), gone, on)
+        if names:
+            self.tx.replace_files(table, names, self.tx.files_of(table, names).join(gone, on, "left_anti"))
+
     def _check_unique(self, model: Model, only: set[str] | None = None) -> None:
         """Each unique key (that has a field in `only`) holds once. Nulls don't count."""
         for name, fields in model.unique_keys().items():
@@ -132,9 +159,7 @@ class Writer(Reader):
                 raise ForeignKeyError(f"{child.name}.{name} still refers to {model.name}", model=child.name, relation=name)
         for name, rel in model.relations.items():
             if rel.kind == "m2m" and (j := self.registry.junction(model, name)).table in self.tx.tables:
-                gone = rows.select(F.col(f"`{model.key[0]}`").alias("__g"))
-                links = self.tx.load(j.table)
-                self.tx.rewrite(j.table, self.tx.temporary(links.join(gone, F.col(f"`{j.source}`") == F.col("__g"), "left_anti")))
+                self._drop_links(j.table, rows.select(F.col(f"`{model.key[0]}`").alias("__g")), F.col(f"`{j.source}`") == F.col("__g"))
         self._change(model, keys, None)
 
     # values
@@ -159,6 +184,8 @@ class Writer(Reader):
                 raise NotNullError(f"{model.name}.{name} is required", model=model.name, field=name)
             if v is None and not f.nullable:
                 raise NotNullError(f"{model.name}.{name} can't be null", model=model.name, field=name)
+            if f.generate == "increment" and v == 0:
+                raise ValidationError(f"{model.name}.{name} counts up from 1, so it can't be zero")
             if f.check and v is not None and not f.check(v):
                 raise ValidationError(f"{v!r} isn't a valid {model.name}.{name}")
             row[name] = v
@@ -200,6 +227,60 @@ class Writer(Reader):
         data = [tuple(self._stored_value(f, r[k]) for k, f in model.fields.items()) for r in rows]
         return self.tx.spark.createDataFrame(data, model.schema())
 
+    def _payload(self, model: Model, data: DataFrame) -> DataFrame:
+        """Complete rows of a DataFrame payload, checked like single ones: missing columns get their defaults or generated
+        values as columns, and one aggregate finds what may not be."""
+        if unknown := set(data.columns) - set(model.fields):
+            raise ValidationError(f"{model.name} has no field {', '.join(sorted(unknown))}")
+        columns, faults, counted = [], {}, None
+        for name, f in model.fields.items():
+            if name in data.columns:
+                c = F.col(f"`{name}`")
+            elif f.generate == "increment":
+                c, counted = F.lit(None), name
+            elif f.generate:
+                c = generated_column(f.generate)
+            elif f.has_default:
+                c = F.udf(f.default, f.spark_type()).asNondeterministic()() if callable(f.default) else self._literal(f, f.default)
+            elif f.nullable or f.array:
+                c = F.array() if f.array and not f.nullable else F.lit(None)
+            else:
+                raise NotNullError(f"{model.name}.{name} is required", model=model.name, field=name)
+            columns.append(c.cast(f.spark_type()).alias(name))
+            value = F.col(f"`{name}`")
+            if not f.nullable and name != counted:
+                faults[name, NotNullError, "can't be null"] = value.isNull()
+            if f.generate == "increment" and name != counted:
+                faults[name, ValidationError, "counts up from 1, so it can't be zero"] = value == 0
+            if f.kind == "enum":
+                bad = lambda x, f=f: ~x.isin(*f.values)
+                faults[name, ValidationError, f"must be one of {', '.join(f.values)}"] = F.exists(value, lambda x: bad(x)) if f.array else bad(value)
+            if f.kind == "vector" and f.dimension:
+                faults[name, ValidationError, f"must have {f.dimension} numbers"] = F.size(value) != f.dimension
+            if f.check:
+                faults[name, ValidationError, "isn't valid"] = value.isNotNull() & ~F.udf(lambda v, check=f.check: bool(check(v)), "boolean")(value)
+        rows = self.tx.temporary(data.select(*columns))
+        if faults:
+            found = rows.agg(*(F.coalesce(F.max(F.coalesce(c, F.lit(False)).cast("int")), F.lit(0)).alias(f"f{k}") for k, c in enumerate(faults.values()))).first()
+            for k, (name, error, text) in enumerate(faults):
+                if found[k]:
+                    raise error(f"{model.name}.{name} {text}", model=model.name, field=name)
+        return self._counted_up(model, rows, counted) if counted else rows
+
+    def _counted_up(self, model: Model, rows: DataFrame, name: str) -> DataFrame:
+        """rows with the next numbers in the field, in the order of the files: a count for each task comes to the driver."""
+        place, part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), F.spark_partition_id()
+        first = self.scan(model).agg(F.max(f"`{name}`")).first()[0] or 0
+        starts, total = [], first + 1
+        for r in sorted(rows.groupBy(part.alias("p")).count().collect()):
+            starts.append((r["p"], total))
+            total += r["count"]
+        if not starts:
+            return rows
+        start = F.element_at(F.map_from_arrays(F.array(*(F.lit(p) for p, _ in starts)), F.array(*(F.lit(n) for _, n in starts))), F.col("__part"))
+        numbered = rows.withColumn("__part", part).withColumn("__place", place)
+        return self.tx.temporary(numbered.withColumn(name, (start + F.col("__place")).cast(model.fields[name].spark_type())).select(*rows.columns))
+
     def _insert(self, model: Model, rows: DataFrame) -> None:
         self._check_new_unique(model, rows)
         self._check_references(model, rows)
@@ -218,6 +299,8 @@ class Writer(Reader):
             if op is None or set(ops) - {"set", "increment", "decrement", "multiply", "divide", "push", "unshift"}:
                 raise ValidationError(f"{ops!r} isn't an update of {name}")
             x = ops[op]
+            if name in model.key and isinstance(v, dict):
+                self._check_key_update(model, name, ops)
             if op == "set":
                 if x is None and not f.nullable:
                     raise NotNullError(f"{model.name}.{name} can't be null", model=model.name, field=name)
@@ -234,7 +317,7 @@ class Writer(Reader):
                     raise ValidationError("division by zero")
                 y = literal(f, x)
                 if op == "divide" and f.kind in ("int", "big_int"):
-                    out[name] = ((c - c % y) / y).cast(f.spark_type())  # toward zero
+                    out[name] = F.call_function("div", c, y).cast(f.spark_type())  # toward zero
                 else:
                     out[name] = {"increment": c + y, "decrement": c - y, "multiply": c * y, "divide": c / y}[op].cast(f.spark_type())
         for name, f in model.fields.items():
@@ -242,6 +325,17 @@ class Writer(Reader):
                 out[name] = self._literal(f, generated("now"))
         return out
 
+    def _check_key_update(self, model: Model, name: str, ops: dict) -> None:
+        """A key field takes one operation, arithmetic on whole numbers alone, and finite operands."""
+        f = model.fields[name]
+        if len(ops) != 1:
+            raise ValidationError(f"{model.name}.{name} is a key and takes one operation")
+        ((op, x),) = ops.items()
+        if op != "set" and f.kind in ("float", "decimal"):
+            raise ValidationError(f"{model.name}.{name} is a key of kind {f.kind}, which takes set alone")
+        if isinstance(x, float) and not math.isfinite(x):
+            raise ValidationError(f"{x!r} can't change the key {model.name}.{name}")
+
     def _literal(self, f: Field, v: Any) -> Column:
         if isinstance(v, Column) or v is None or f.kind != "json":
             return literal(f, v)
@@ -262,8 +356,7 @@ class Writer(Reader):
         model, args = self.checked(model_name, args, ("data", "skip_duplicates", "select", "omit"))
         data, ids = args.get("data") or [], {}
         if isinstance(data, DataFrame):
-            rows = data.select(*((F.col(f"`{k}`") if k in data.columns else F.lit(f.default)).cast(f.spark_type()).alias(k) for k, f in model.fields.items()))
-            rows = self.tx.temporary(rows)
+            rows = self._payload(model, data)
         else:
             rows = self._frame(model, [self._row(model, spelled(d), ids) for d in data])
         if args.get("skip_duplicates"):
@@ -310,11 +403,13 @@ class Writer(Reader):
                         if rel.on_update != "cascade":
                             raise ForeignKeyError(f"{child.name}.{name} refers to the key that would change")
                         new = old.select(*(F.col(f"`{r}`").alias(f"__p{i}") for i, r in enumerate(rel.references)), *(assign.get(r, F.col(f"`{r}`")).alias(f"__q{i}") for i, r in enumerate(rel.references)))
-                        kids = self.to_fields(self.tx.load(child.table), child)
-                        joined = kids.join(new, all_of([F.col(f"`{f}`") == F.col(f"__p{i}") for i, f in enumerate(rel.fields)]), "left")
+                        on = all_of([F.col(f"`{f}`") == F.col(f"__p{i}") for i, f in enumerate(rel.fields)])
+                        names = self._files(self.to_fields(self.tx.with_files(child.table), child), new, on)
+                        kids = self.to_fields(self.tx.files_of(child.table, names), child)
+                        joined = kids.join(new, on, "left")
                         for i, f in enumerate(rel.fields):
                             joined = joined.withColumn(f, F.when(F.col(f"__p{i}").isNotNull(), F.col(f"__q{i}")).otherwise(F.col(f"`{f}`")))
-                        self.tx.rewrite(child.table, self.tx.temporary(self.to_columns(joined.select(*kids.columns), child)))
+                        self.tx.replace_files(child.table, names, self.to_columns(joined.select(*kids.columns), child))
         self._change(model, keys, assign)
         if set(assign) & {f for fs in model.unique_keys().values() for f in fs}:
             self._check_unique(model, set(assign))
@@ -355,9 +450,9 @@ class Writer(Reader):
         return self.tx.spark.createDataFrame([tuple(row[k] for k in model.key)], schema)
 
     def _shown(self, model: Model, row: dict, args: dict) -> DataFrame:
-        """The record as the payload's projection asks; computed now, as the transaction ends after this."""
+        """The record as the payload's projection asks; kept as a file, as the transaction ends after this."""
         df = self.find_unique(model.name, where=self._of(model, row), **{k: args[k] for k in ("select", "include", "omit") if k in args})
-        return self.tx.spark.createDataFrame(df.collect(), df.schema)
+        return self.tx.temporary(df)
 
     def create(self, model_name: str, **args: Any) -> DataFrame:
         model, args = self.checked(model_name, args, ("data", "select", "include", "omit"))
@@ -395,6 +490,8 @@ class Writer(Reader):
                 raise ValidationError(f"{model.name}.{name} takes no {', '.join(sorted(bad))} here")
             if model.relations[name].kind == "one" and set(ops) & {"create_many", "set", "update_many", "delete_many"}:
                 raise ValidationError(f"{name} is to one record")
+            if model.relations[name].kind == "one" and under is UNDER_CREATE and "upsert" in ops:
+                raise ValidationError(f"{name} takes no upsert under create: there is no record yet that could have it")
             if model.relations[name].kind == "one" and len(ops) > 1:
                 raise NestedWriteError(f"{name} takes one write at a time")
         return {k: v for k, v in data.items() if k in model.fields}, nested
@@ -411,7 +508,7 @@ class Writer(Reader):
         self._insert(model, self._frame(model, [row]))
         for name, ops in nested.items():
             if not model.relations[name].holds:
-                self._children(model, row, name, ops)
+                self._children(model, row, name, ops, fresh=True)
         return row
 
     def _held(self, model: Model, name: str, ops: dict) -> dict:
@@ -423,7 +520,7 @@ class Writer(Reader):
             found = self._create(target, v)
         elif op == "connect":
             found = self._required_row(target, v)
-        elif op in ("connect_or_create", "upsert"):
+        elif op == "connect_or_create":
             found = self._locate(target, v["where"]) or self._create(target, v["create"])
         else:
             raise ValidationError(f"{name} takes no {op} here")
@@ -513,9 +610,7 @@ class Writer(Reader):
         if model.relations[name].kind == "m2m":
             j = self.registry.junction(model, name)
             gone = self.tx.temporary(children.select(F.col(f"`{target.key[0]}`").alias("__g")))
-            links = self.tx.load(j.table)
-            mine = F.col(f"`{j.source}`") == F.lit(row[model.key[0]])
-            self.tx.rewrite(j.table, self.tx.temporary(links.where(~mine).unionByName(links.where(mine).join(gone, F.col(f"`{j.target}`") == F.col("__g"), "left_anti"))))
+            self._drop_links(j.table, gone, (F.col(f"`{j.source}`") == F.lit(row[model.key[0]])) & (F.col(f"`{j.target}`") == F.col("__g")))
             return
         fields = [c for _, c in self.registry.keys(model, name)]
         keys = self._keys(children, target)
@@ -533,7 +628,8 @@ class Writer(Reader):
             raise NestedWriteError(f"no {target.name} of this {model.name} matches")
         return got[0].asDict(recursive=True)
 
-    def _children(self, model: Model, row: dict, name: str, ops: dict) -> None:
+    def _children(self, model: Model, row: dict, name: str, ops: dict, fresh: bool = False) -> None:
+        """fresh: the record was made just now, so an upsert takes over the target that it finds, whoever had it."""
         rel = model.relations[name]
         target = self.registry[rel.target]
         single = rel.kind == "one"
@@ -584,7 +680,9 @@ class Writer(Reader):
                     if now is None:
                         make(x["create"])
                     else:
-                        if not single and self.unique_filtered(self._related(model, row, name), target, self._of(target, now)).isEmpty():
+                        if fresh:
+                            self._link(model, row, name, now)
+                        elif not single and self.unique_filtered(self._related(model, row, name), target, self._of(target, now)).isEmpty():
                             raise NestedWriteError(f"that {target.name} belongs to another {model.name}")
                         self._update(target, now, x["update"])
             elif op == "connect_or_create":
@@ -622,11 +720,21 @@ class Writer(Reader):
                     make(x)
             elif op == "create_many":
                 v = spelled(v)
-                rows = [{**d, **back} for d in v["data"]]
+                ids: dict[str, int] = {}
+                rows = [self._row(target, {**spelled(d), **back}, ids) for d in v["data"]]
                 self.create_many(target.name, data=rows, skip_duplicates=v.get("skip_duplicates", False))
                 if rel.kind == "m2m":
                     for d in rows:
-                        self._link(model, row, name, self._required_row(target, {k: d[k] for k in target.unique_keys() if k in d}))
+                        self._link(model, row, name, self._kept(target, d))
+
+    def _kept(self, model: Model, row: dict) -> dict:
+        """The stored record of a row of create_many: itself, or the one in whose favour it was skipped."""
+        for name, fields in model.unique_keys().items():
+            if all(row[f] is not None for f in fields):
+                found = self._locate(model, {name: row[fields[0]]} if name in model.fields else {name: {f: row[f] for f in fields}})
+                if found:
+                    return found
+        raise NotFoundError(f"no {model.name} matches")
 
     def _frame_keys(self, model: Model, rows: list[dict]) -> DataFrame:
         schema = ", ".join(f"__w{i} {model.fields[k].spark_type().simpleString()}" for i, k in enumerate(model.key))
