@@ -421,6 +421,22 @@ class Writer(Reader):
         self._check_references(model, rows, set(assign))
         return rows
 
+    def put(self, model: Model, rows: DataFrame, changed: set[str]) -> int:
+        """Puts these rows in the place of those with the same primary keys; changed: the fields that may differ."""
+        n = rows.count()
+        if not n:
+            return 0
+        keys = self._keys(rows, model)
+        self._check_references(model, rows, changed)
+        self._change(model, keys, None)
+        self.tx.append(model.table, self.to_columns(rows, model))
+        if changed & {f for fs in model.unique_keys().values() for f in fs}:
+            self._check_unique(model, changed)
+        for child, name, rel in self._referrers(model):
+            if changed & set(rel.references):
+                self._check_references(child, self.scan(child), set(rel.fields))
+        return n
+
     def delete_many(self, model_name: str, **args: Any) -> DataFrame:
         model, args = self.checked(model_name, args, ("where", "limit", "select", "omit"))
         rows = self.tx.temporary(self._limited(model, args))
@@ -620,6 +636,27 @@ class Writer(Reader):
             raise NestedWriteError(f"{target.name} can't be without its {model.name}")
         self._update_rows(target, keys, {c: None for c in fields})
 
+    def _check_own_writes(self, target: Model, name: str, ops: dict) -> None:
+        """Writes side by side that depend on one another are refused: two that name the same record, and a condition on fields
+        that another one sets."""
+        named: dict[str, str] = {}
+        sets: list[tuple[str, int, set[str]]] = []
+        for op in ORDER:
+            for k, x in enumerate(_listed(ops[op]) if op in ops else ()):
+                if not isinstance(x, dict):
+                    continue
+                if op in ("update", "upsert", "update_many") and ("where" in x or op == "update_many"):
+                    sets.append((op, k, set(x.get("data") or x.get("update") or {})))
+                where = x.get("where") if op in ("update", "upsert", "connect_or_create") else x if op in ("disconnect", "delete", "set", "connect") else None
+                if where and named.setdefault(repr(sorted(where.items(), key=str)), op) != op:
+                    raise NestedWriteError(f"{name}: {op} and {named[repr(sorted(where.items(), key=str))]} name the same {target.name}")
+        for op in ("update_many", "delete_many"):
+            for k, x in enumerate(_listed(ops[op]) if op in ops else ()):
+                asked = set((x.get("where") if op == "update_many" else x) or {})
+                for other, j, fields in sets:
+                    if (other, j) != (op, k) and asked & fields:
+                        raise NestedWriteError(f"{name}: {op} asks for {', '.join(sorted(asked & fields))}, which {other} beside it sets")
+
     def _own(self, model: Model, row: dict, name: str, where: dict) -> dict:
         """The child that where names, which must belong to this record."""
         target = self.registry[model.relations[name].target]
@@ -646,6 +683,7 @@ class Writer(Reader):
             if rel.kind == "m2m":
                 self._link(model, row, name, child)
 
+        self._check_own_writes(target, name, ops)
         for op in ORDER:
             if op not in ops:
                 continue

@@ -19,6 +19,8 @@ from .scratch import scratch_path
 from .sources import FrameSource, LayeredSource, ParquetSource, query
 from .sources.store import SnapshotStore
 from .streaming import find_stream, group_stream
+from .write_queries import ORACLES as WRITE_ORACLES
+from .write_queries import QUERIES as WRITE_QUERIES
 
 REGISTRY = Registry(
     Model("region", {"r_regionkey": integer(id=True), "r_name": string(), "nations": to_many("nation")}),
@@ -514,3 +516,6 @@ ORACLES |= {
     "stream_filter": "SELECT event_id, event_type FROM events JOIN customer ON user_id = c_custkey WHERE value > 50 AND c_acctbal > 0",
     "stream_window_group": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY ALL",
 }
+
+QUERIES |= WRITE_QUERIES
+ORACLES |= WRITE_ORACLES

@@ -55,6 +55,20 @@ class LayeredSource:
         return self.sources[-1].load(table)
 
 
+class Recorded:
+    """A source that keeps the names of the tables it was asked for."""
+
+    def __init__(self, source: Source):
+        self.source, self.spark, self.loaded = source, source.spark, set()
+
+    def load(self, table: str) -> DataFrame:
+        self.loaded.add(table)
+        return self.source.load(table)
+
+    def __getattr__(self, name: str):
+        return getattr(self.source, name)
+
+
 def query(spark: SparkSession, text: str, **args) -> DataFrame:
     """Raw SQL with bound named parameters (:name); values are never spliced into the text."""
     return spark.sql(text, args=args)

@@ -20,6 +20,17 @@ from pyspark.sql import types as T
 from ..errors import ConflictError, TransactionError
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The same type with nulls allowed everywhere, as files are read."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True, f.metadata) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType), True)
+    return kind
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -120,7 +131,7 @@ class SnapshotStore:
         root, gone = self._path(self.root), 0
         fs = self._fs(root)
         for table in fs.listStatus(root):
-            if table.getPath().getName() == "_manifest":
+            if table.getPath().getName() in ("_manifest", "_steps"):
                 continue
             for folder in fs.listStatus(table.getPath()):
                 name = f"{table.getPath().getName()}/{folder.getPath().getName()}"
@@ -149,6 +160,7 @@ class Transaction:
         self.base = store.version() or 0
         self.state = store.manifest(self.base)["tables"]
         self.touched: set[str] = set()
+        self.changed: list[str] = []
         self.done = False
 
     @property
@@ -170,7 +182,7 @@ class Transaction:
         if table in self.state:
             raise TransactionError(f"table {table} exists")
         frame = isinstance(df_or_schema, DataFrame)
-        schema = df_or_schema.schema if frame else df_or_schema
+        schema = nullable(df_or_schema.schema if frame else df_or_schema)
         self.state[table] = {"schema": schema.json(), "files": self.store.write_files(df_or_schema, table) if frame else []}
         self.touched.add(table)
 
@@ -191,14 +203,15 @@ class Transaction:
         self.append(table, rows)
 
     def rewrite(self, table: str, rows: DataFrame, schema: T.StructType | None = None) -> None:
-        self.state[table] = {"schema": (schema or rows.schema).json(), "files": []}
+        self.state[table] = self.state.get(table, {}) | {"schema": nullable(schema or rows.schema).json(), "files": []}
         self.append(table, rows)
 
     def files_of(self, table: str, names: set[str]) -> DataFrame:
         return self.store.read(self.state, table, [f for f in self.state[table]["files"] if f.rpartition("/")[2] in names])
 
     def temporary(self, df: DataFrame) -> DataFrame:
-        """df as files that no manifest names: read again without being computed again."""
+        """df as files that no manifest names: read again without being computed again. They stay for results that are read
+        after the transaction, until vacuum."""
         files = self.store.write_files(df, "_temporary")
         return self.spark.read.schema(df.schema).parquet(*(f"{self.store.root}/{f}" for f in files)) if files else self.spark.createDataFrame([], df.schema)
 
@@ -211,7 +224,7 @@ class Transaction:
     def commit(self) -> int:
         if self.done:
             raise TransactionError("the transaction has ended")
-        changed = sorted(t for t in self.touched if self.state.get(t) != self.store.manifest(self.base)["tables"].get(t))
+        self.changed = changed = sorted(t for t in self.touched if self.state.get(t) != self.store.manifest(self.base)["tables"].get(t))
         if not changed:
             self.done = True
             return self.base
