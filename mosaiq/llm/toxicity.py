@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, picked, prepare
+from .common import id_type, picked, prepare, written
 
 MAX_DOCS, FEATURES, GRADES, MIN_SUPPORT = 4000, 300, 3, 5
 #: A word is marked if it is this many times more frequent among toxic texts.
@@ -140,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     cells = [(y, h) for y in (0, 1) for h in (0, 1)]
     by = rows.mapInArrow(distinct, "y int, h int, w string, n long").groupBy("w").agg(*(F.sum(F.when((F.col("y") == y) & (F.col("h") == h), F.col("n")).otherwise(0)).alias(f"n{y}{h}") for y, h in cells))
+    by = written(by, "words")  # of the sample's texts; read four times
     totals = by.where("w is null").first()
     of = [tuple(totals[f"n{y}{h}"] for y in (0, 1)) for h in (0, 1)] if totals else [(0, 0)] * 2
     both = (of[0][0] + of[1][0], of[0][1] + of[1][1])
