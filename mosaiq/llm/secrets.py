@@ -37,7 +37,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 KINDS = (*PATTERNS, "markov")
 #: Labelled strings of either kind that are made or sampled for the models, and documents sampled for words.
 SAMPLE_STRINGS, SAMPLE_DOCS = 3000, 2000
-#: Nats: the least multiple of 5 that at most 1 in 1,000 of the held-out ordinary strings reach.
+#: Nats. From 15 on no fewer of the held-out ordinary strings are taken for random ones; 5 more are a margin for other texts
+#: (the README has the rates).
 ODDS = 20.0
 MARK = "[SECRET]"
 #: Code points of the parts that a text is cut into to take pieces out of it.
