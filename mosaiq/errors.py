@@ -1,4 +1,4 @@
-"""Exceptions, each with a stable code."""
+"""Exceptions, each with a stable code. The codes are fixed values."""
 
 from __future__ import annotations
 

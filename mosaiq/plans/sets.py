@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import UnsupportedError
+
+#: Rows of the right side of a cross join.
+CROSS_ROWS = 10_000
+
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
@@ -34,8 +39,10 @@ def join(a: DataFrame, b: DataFrame, on: list[tuple[str, str]], how: str = "inne
     return a.join(b, cond, how)
 
 
-def cross(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every pair of rows; for sides of a few rows."""
+def cross(a: DataFrame, b: DataFrame, most: int = CROSS_ROWS) -> DataFrame:
+    """Every pair of rows. One side must be small: b of `most` rows at most, which is looked at."""
+    if b.limit(most + 1).count() > most:
+        raise UnsupportedError(f"a cross join takes {most} rows at most on its right side")
     return a.crossJoin(b.select(*(F.col(f"`{c}`").alias(f"right_{c}" if c in a.columns else c) for c in b.columns)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mosaiq.cache import Cache, FileEntries
 from mosaiq.engine import Engine
 from mosaiq.errors import ConflictError, ForeignKeyError, NestedWriteError, NotNullError, TransactionError, UniqueConstraintError, UnsupportedError, ValidationError
+from mosaiq.plans import sets
 from mosaiq.plans.read import Reader
 from mosaiq.queries import REGISTRY, reader
 from mosaiq.schema import Model, Registry, big_int, decimal, enum, integer, string, to_many, to_one, vector
@@ -184,6 +185,12 @@ def test_long_lists_are_joined(spark, data):
     assert "LeftSemi" not in plan(r.find_many("orders", where={"o_orderkey": {"in": [1, 2]}}))
 
 
+def test_cross_joins_are_bounded(spark):
+    assert sets.cross(spark.range(3), spark.range(4), most=4).count() == 12
+    with pytest.raises(UnsupportedError):
+        sets.cross(spark.range(3), spark.range(5), most=4)
+
+
 def test_junction_writes_keep_other_files(e):
     e.person.update(where={"id": 2}, data={"skills": {"connect": [{"id": 1}]}})
     before = set(e.source.tables["person_skill"]["files"])
