@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .cache import Cache
 from .engine import Engine
+from .errors import MosaiqError
 from .operators.predicates import DB_NULL, FieldRef
 from .schema import Model, Registry, big_int, blob, boolean, date, date_time, decimal, enum, floating, integer, json, many_to_many, point, string, time, to_many, to_one, vector
 from .scratch import scratch_path
@@ -313,3 +314,100 @@ def _(e: Engine) -> DataFrame:
     people(e).write.format("jdbc").options(url=url, dbtable="person", createTableColumnTypes="name VARCHAR(100)", **options).mode("overwrite").save()
     there = Engine(BOOK, JdbcSource(e.spark, url, **options))
     return there.person.find_many(where={"score": {"gt": 100}, "name": {"not": "CHINA"}}, select={"id": True, "name": True, "team_id": True})
+
+
+# what is refused, and with which code
+
+
+def _refused(name: str, cases: dict[str, tuple[str, Callable[[Engine], object]]], made: Callable[[Engine], Engine] = lambda e: e) -> None:
+    """A row for each case: its name and the code of the error; `none` if nothing was refused."""
+
+    def run(e: Engine) -> DataFrame:
+        e, rows = made(e), []
+        for case, (_, act) in cases.items():
+            try:
+                act(e)
+                rows.append((case, "none"))
+            except MosaiqError as error:
+                rows.append((case, error.code))
+        return e.spark.createDataFrame(rows, "refused string, code string")
+
+    listed = ", ".join("('{}', '{}')".format(case.replace("'", "''"), code) for case, (code, _) in cases.items())
+    _add(name, f"SELECT * FROM (VALUES {listed}) v(refused, code)")(run)
+
+
+_refused("refused_projections", {
+    "empty select": ("V4001", lambda e: e.person.find_many(select={})),
+    "all-false select": ("V4001", lambda e: e.person.find_many(select={"id": False})),
+    "select and include": ("V4001", lambda e: e.person.find_many(select={"id": True}, include={"team": True})),
+    "select and omit": ("V4001", lambda e: e.person.find_many(select={"id": True}, omit={"name": True})),
+    "omit of all": ("V4001", lambda e: e.team.find_many(omit={"id": True, "name": True, "note": True})),
+    "include of a field": ("V4001", lambda e: e.person.find_many(include={"name": True})),
+    "unknown field": ("V4001", lambda e: e.person.find_many(select={"nope": True})),
+    "count of a to-one": ("V4001", lambda e: e.person.find_many(select={"_count": {"select": {"team": True}}})),
+    "two distances": ("V4001", lambda e: e.thing.find_many(select={"place": {"_distance": {"to": [1, 2], "metric": "l2"}}, "ratio": {"_distance": {"to": [1, 2], "metric": "l2"}}})),
+    "relations of a bulk write": ("V4001", lambda e: e.person.update_many(where={"id": 1}, data={"score": 1}, select={"team": True})),
+    "unknown model": ("V6002", lambda e: e.ghost.find_many()),
+})
+_refused("refused_filters", {
+    "order of an enum": ("V4001", lambda e: e.thing.find_many(where={"size": {"lt": "small"}})),
+    "text operator on a number": ("V4001", lambda e: e.person.find_many(where={"score": {"contains": "1"}})),
+    "order of a blob": ("V4001", lambda e: e.thing.find_many(where={"data": {"gt": b"a"}})),
+    "order of a vector": ("V4001", lambda e: e.thing.find_many(where={"place": {"gt": [1, 2]}})),
+    "in of a point": ("V4001", lambda e: e.thing.find_many(where={"spot": {"in": [{"x": 1, "y": 1}]}})),
+    "order of a boolean": ("V4001", lambda e: e.thing.find_many(where={"flag": {"gt": False}})),
+    "list operator on a scalar": ("V4001", lambda e: e.thing.find_many(where={"size": {"has": "small"}})),
+    "text operator on a list": ("V4001", lambda e: e.thing.find_many(where={"words": {"contains": "a"}})),
+    "value outside the enum": ("V4001", lambda e: e.thing.find_many(where={"size": "medium"})),
+    "vector of another length": ("V4001", lambda e: e.thing.find_many(where={"place": [1.0]})),
+    "wildcard in a path": ("V4001", lambda e: e.thing.find_many(where={"doc": {"path": "$.a[*]", "equals": 1}})),
+    "part of a compound key": ("V4001", lambda e: e.account.find_unique(where={"tenant_number": {"tenant": 1}})),
+    "no unique key": ("V4001", lambda e: e.person.find_unique(where={"name": "CHINA"})),
+    "cursor with a condition": ("V4001", lambda e: e.person.find_many(cursor={"id": 1, "name": "CHINA"})),
+    "cursor under a relation's order": ("V8001", lambda e: e.team.find_many(order_by={"members": {"_count": "asc"}}, cursor={"id": 1})),
+    "no row": ("V6001", lambda e: e.person.find_unique_or_throw(where={"id": 9999})),
+    "having of another field": ("V4001", lambda e: e.person.group_by(by="team_id", having={"name": "CHINA"})),
+    "groups from the end": ("V8001", lambda e: e.person.group_by(by="team_id", take=-1)),
+    "groups by another order": ("V4001", lambda e: e.person.group_by(by="team_id", order_by={"name": "asc"})),
+    "nothing to aggregate": ("V4001", lambda e: e.person.aggregate()),
+    "sum of a text": ("V4001", lambda e: e.person.aggregate(_sum={"name": True})),
+})
+_refused("refused_writes", {
+    "unique key": ("V3001", lambda e: e.team.create(data={"id": 50, "name": "ASIA"})),
+    "unique key on update": ("V3001", lambda e: e.team.update(where={"id": 1}, data={"name": "ASIA"})),
+    "reference": ("V3002", lambda e: e.person.create(data={"name": "x", "team_id": 999})),
+    "required field": ("V3003", lambda e: e.person.create(data={"score": 1})),
+    "null in a required field": ("V3003", lambda e: e.person.update(where={"id": 1}, data={"name": None})),
+    "no row to update": ("V6001", lambda e: e.person.update(where={"id": 9999}, data={"name": "x"})),
+    "no row to delete": ("V6001", lambda e: e.person.delete(where={"id": 9999})),
+    "counted zero": ("V4001", lambda e: e.person.create(data={"id": 0, "name": "x"})),
+    "two operations on a key": ("V4001", lambda e: e.person.update(where={"id": 1}, data={"id": {"increment": 1, "set": 5}})),
+    "division by zero": ("V4001", lambda e: e.person.update(where={"id": 1}, data={"score": {"divide": 0}})),
+    "arithmetic on text": ("V4001", lambda e: e.person.update(where={"id": 1}, data={"name": {"increment": 1}})),
+    "push on a scalar": ("V4001", lambda e: e.person.update(where={"id": 1}, data={"name": {"push": "x"}})),
+    "relations in a bulk write": ("V4001", lambda e: e.person.update_many(data={"team": {"connect": {"id": 1}}})),
+    "negative limit": ("V4001", lambda e: e.person.delete_many(limit=-1)),
+    "update and delete of one record": ("V7001", lambda e: e.team.update(where={"id": 1}, data={"members": {"update": [{"where": {"id": 1}, "data": {"name": "x"}}], "delete": [{"id": 1}]}})),
+    "condition on what is set beside it": ("V7001", lambda e: e.team.update(where={"id": 1}, data={"members": {"update": [{"where": {"id": 1}, "data": {"score": 0}}], "delete_many": [{"score": {"lt": 5}}]}})),
+    "another parent's record": ("V7001", lambda e: e.team.update(where={"id": 1}, data={"members": {"update": [{"where": {"id": 3}, "data": {"name": "x"}}]}})),
+    "upsert of another parent's record": ("V7001", lambda e: e.team.update(where={"id": 1}, data={"members": {"upsert": [{"where": {"id": 3}, "create": {"name": "x"}, "update": {}}]}})),
+    "to-one upsert under create": ("V4001", lambda e: e.person.create(data={"name": "x", "team": {"upsert": {"where": {"id": 1}, "create": {"id": 1, "name": "y"}, "update": {}}}})),
+    "isolation level": ("V8001", lambda e: e.batch(lambda s: s.person.count(), isolation_level="read_committed")),
+    "write through the cache": ("V8001", lambda e: e.with_cache().person.delete_many()),
+})
+
+
+def _strict(e: Engine) -> Engine:
+    """The same tables, with a team that a person can't be without."""
+    return Engine(Registry(
+        Model("team", {"id": integer(id=True), "name": string(unique=True), "note": string(nullable=True), "members": to_many("person")}),
+        Model("person", {"id": integer(id=True), "name": string(), "score": big_int(default=7), "team_id": integer(), "team": to_one("team", "team_id", "id")}),
+    ), e.source)
+
+
+_refused("refused_orphans", {
+    "disconnect": ("V7001", lambda e: e.team.update(where={"id": 1}, data={"members": {"disconnect": [{"id": 1}]}})),
+    "set without it": ("V7001", lambda e: e.team.update(where={"id": 1}, data={"members": {"set": [{"id": 3}]}})),
+    "delete of the parent": ("V3002", lambda e: e.team.delete(where={"id": 1})),
+    "create without a parent": ("V3003", lambda e: e.person.create(data={"id": 90, "name": "x"})),
+}, _strict)
