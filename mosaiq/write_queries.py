@@ -11,10 +11,11 @@ from .cache import Cache
 from .engine import Engine
 from .errors import MosaiqError
 from .operators.predicates import DB_NULL, FieldRef
+from .plans.jsonschema import argument_schemas
 from .schema import Model, Registry, big_int, blob, boolean, date, date_time, decimal, enum, floating, integer, json, many_to_many, point, string, time, to_many, to_one, vector
 from .scratch import scratch_path
 from .sources import JdbcSource, ParquetSource
-from .sources.evolve import revert
+from .sources.evolve import Migrations, revert
 from .sources.store import SnapshotStore
 
 BOOK = Registry(
@@ -411,3 +412,87 @@ _refused("refused_orphans", {
     "delete of the parent": ("V3002", lambda e: e.team.delete(where={"id": 1})),
     "create without a parent": ("V3003", lambda e: e.person.create(data={"id": 90, "name": "x"})),
 }, _strict)
+
+
+# updates by kind, schema changes
+
+
+@_add("write_update_every_kind", "SELECT id, NOT flag AS flag, DATE '2020-02-29' AS day, '2021-03-04 05:06:07' AS at, '01:02:03' AS clock, 'small' AS size, CAST(NULL AS VARCHAR) AS other, '0001' AS data, 3 AS x, 'q' AS words, CAST((CAST(price * 4 AS DECIMAL(18, 2)) + 1.25) AS VARCHAR) AS price, big - 9007199254740992 AS big, ratio * 2 - 1 AS ratio, 9 AS place FROM thing WHERE id < 30")
+def _(e: Engine) -> DataFrame:
+    import datetime
+
+    where = {"id": {"lt": 30}}
+    for flag in (True, False):
+        e.thing.update_many(where={**where, "flag": flag, "size": {"in": ["small", "large"]}, "clock": {"not": "23:00:00"}}, data={"flag": not flag, "clock": "23:00:00"})
+    e.thing.update_many(where=where, data={
+        "day": datetime.date(2020, 2, 29), "at": {"set": datetime.datetime(2021, 3, 4, 5, 6, 7)}, "clock": "01:02:03", "size": "small", "other": None, "data": b"\x00\x01", "spot": {"x": 3, "y": 4}, "words": {"set": ["q"]},
+        "price": {"multiply": 4}, "big": {"decrement": 9007199254740992}, "ratio": {"divide": 0.5}, "place": [9, 8],
+    })
+    e.thing.update_many(where=where, data={"price": {"increment": "1.25"}, "ratio": {"decrement": 1}})
+    got = e.thing.find_many(where=where)
+    return got.select("id", "flag", "day", F.col("at").cast("string").alias("at"), "clock", "size", "other", F.lower(F.hex("data")).alias("data"), F.col("spot.x").cast("int").alias("x"), F.array_join("words", "|").alias("words"), F.col("price").cast("string").alias("price"), "big", "ratio", F.get("place", F.lit(0)).cast("int").alias("place"))
+
+
+def _pets(**more) -> Registry:
+    return Registry(
+        Model("owner", {"id": integer(id=True), "email": string(unique=True), "pets": to_many("pet")}, indexes=(("email",),)),
+        Model("pet", {"id": integer(id=True), "owner_id": integer(nullable=True), "owner": to_one("owner", "owner_id", "id", optional=True), **more}),
+    )
+
+
+_STEPS = (
+    "(1, 'generate', '0001_start'), (2, 'pending', '0001_start'), (3, 'apply', '0001_start'), (4, 'apply', ''), (5, 'generate', '0002_name'), (6, 'steps', 'add_column'), (7, 'apply', '0002_name'), (8, 'columns', 'id,name,owner_id'),"
+    " (9, 'down', '0002_name'), (10, 'columns', 'id,owner_id'), (11, 'rows', '1'), (12, 'pending', '0002_name'), (13, 'apply', '0002_name'), (14, 'squash', '0001_all'), (15, 'pending', ''), (16, 'reset', '0001_all'), (17, 'rows', '0'), (18, 'push', 'add_column'), (19, 'columns', 'age,id,name,owner_id')"
+)
+
+
+@_add("migrations", f"SELECT * FROM (VALUES {_STEPS}) v(place, step, result)")
+def _(e: Engine) -> DataFrame:
+    store = SnapshotStore(e.spark, scratch_path(e.spark, "migrations"))
+    one, two = Migrations(store, _pets()), Migrations(store, _pets(name=string(nullable=True)))
+    rows: list[tuple[int, str, str]] = []
+
+    def note(step: str, result: object) -> None:
+        rows.append((len(rows) + 1, step, ",".join(result) if isinstance(result, list) else str(result)))
+
+    def columns() -> None:
+        note("columns", sorted(store.load("pet").columns))
+
+    def pending(m: Migrations) -> None:
+        note("pending", [name for name, done in m.status() if not done])
+
+    note("generate", one.generate("start"))
+    pending(one)
+    note("apply", one.apply())
+    note("apply", one.apply())
+    Engine(_pets(), store).owner.create(data={"id": 1, "email": "a", "pets": {"create": [{"id": 1}]}})
+    note("generate", second := two.generate("name"))
+    note("steps", [s.kind for s in two.steps(second)])
+    note("apply", two.apply())
+    columns()
+    note("down", two.down(allow_loss=True))
+    columns()
+    note("rows", store.load("pet").count())
+    pending(two)
+    note("apply", two.apply())
+    note("squash", two.squash("all"))
+    pending(two)
+    note("reset", two.reset())
+    note("rows", store.load("pet").count())
+    note("push", [s.kind for s in Migrations(store, _pets(name=string(nullable=True), age=big_int(nullable=True))).push()])
+    columns()
+    return e.spark.createDataFrame(rows, "place int, step string, result string")
+
+
+_ORDERED = "equals,gt,gte,in,lt,lte,not,not_in"
+_FILTERS = {
+    "id": _ORDERED, "flag": "equals,not", "day": _ORDERED, "at": _ORDERED, "clock": _ORDERED, "size": "equals,in,not,not_in", "data": "equals,in,not,not_in", "spot": "equals,not", "words": "equals,has,has_every,has_some,is_empty,not",
+    "price": _ORDERED, "big": _ORDERED, "ratio": _ORDERED, "place": "equals,not",
+}
+
+
+@_add("schema_filters", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _FILTERS.items()) + ") v(field, operators)")
+def _(e: Engine) -> DataFrame:
+    """The filters of each kind of field, from the exported JSON Schema."""
+    defs = argument_schemas(BOOK, "thing")["$defs"]
+    return e.spark.createDataFrame([(k, ",".join(sorted(defs[f"thing.{k}"]["properties"]))) for k in _FILTERS], "field string, operators string")
