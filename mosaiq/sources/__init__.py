@@ -33,7 +33,7 @@ class FrameSource:
 
 
 class JdbcSource:
-    """Tables of a database; Spark pushes filters, columns and limits down to it."""
+    """Tables of a database that the driver and every executor reach; Spark pushes filters, columns and limits down to it."""
 
     def __init__(self, spark: SparkSession, url: str, **options: str):
         self.spark, self.url, self.options = spark, url, options

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from .errors import MosaiqError
 from .operators.predicates import DB_NULL, FieldRef
 from .plans.jsonschema import argument_schemas
 from .schema import Model, Registry, big_int, blob, boolean, date, date_time, decimal, enum, floating, integer, json, many_to_many, point, string, time, to_many, to_one, vector
-from .scratch import scratch_path
+from .scratch import hadoop_path, scratch_path
 from .sources import JdbcSource, ParquetSource
 from .sources.evolve import Migrations, revert
 from .sources.store import SnapshotStore
@@ -308,12 +311,41 @@ def _(e: Engine) -> DataFrame:
     return made.select("id", "flag", "day", F.col("at").cast("string").alias("at"), "clock", "size", "other", F.lower(F.hex("data")).alias("data"), "spot.x", "spot.y", "doc", F.array_join("words", "|").alias("words"), F.col("price").cast("string").alias("price"), "big", "ratio", F.get("place", F.lit(0)).alias("place"))
 
 
+def people_database(e: Engine) -> str:
+    """The URL of a Derby database with the people. One in memory or in a folder is open to a single process, but any number
+    may read one in an archive: it is filled here and packed into the folder that driver and executors share."""
+    path, fs = hadoop_path(e.spark, scratch_path(e.spark, "derby"))
+    if fs.getScheme() != "file":
+        raise ValueError("Derby opens mounted folders only: spark.checkpoint.dir must be one")
+    folder, connect = path.toUri().getPath(), e.spark._jvm.java.sql.DriverManager.getConnection
+    os.makedirs(folder)
+    made = f"jdbc:derby:{folder}/book"
+    c = connect(f"{made};create=true")
+    c.setAutoCommit(False)
+    c.createStatement().execute('CREATE TABLE person ("id" INTEGER, "name" VARCHAR(100), "score" BIGINT, "team_id" INTEGER)')
+    put = c.prepareStatement('INSERT INTO person ("id", "name", "score", "team_id") VALUES (?, ?, ?, ?)')
+    for k, row in enumerate(people(e).select("id", "name", "score", "team_id").toLocalIterator(), 1):
+        for i, v in enumerate(row, 1):
+            put.setObject(i, v)
+        put.addBatch()
+        if k % 1000 == 0:
+            put.executeBatch()
+    put.executeBatch()
+    c.commit()
+    c.close()
+    try:
+        connect(f"{made};shutdown=true")
+    except Py4JJavaError as error:  # Derby reports a shutdown as an error of this state
+        if error.java_exception.getSQLState() != "08006":
+            raise
+    archive = shutil.make_archive(f"{folder}/book", "zip", folder, "book")
+    shutil.rmtree(f"{folder}/book")
+    return f"jdbc:derby:jar:({archive})book"
+
+
 @_add("jdbc_source", "SELECT id, name, team_id FROM person WHERE score > 100 AND name <> 'CHINA'")
 def _(e: Engine) -> DataFrame:
-    url = f"jdbc:derby:memory:mosaiq{abs(hash(e.source.root))};create=true"
-    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    people(e).write.format("jdbc").options(url=url, dbtable="person", createTableColumnTypes="name VARCHAR(100)", **options).mode("overwrite").save()
-    there = Engine(BOOK, JdbcSource(e.spark, url, **options))
+    there = Engine(BOOK, JdbcSource(e.spark, people_database(e), driver="org.apache.derby.iapi.jdbc.AutoloadedDriver"))
     return there.person.find_many(where={"score": {"gt": 100}, "name": {"not": "CHINA"}}, select={"id": True, "name": True, "team_id": True})
 
 
